@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segmill.llm import neardup, skeleton
+from segmill.llm import mixing, neardup, packing, sentences, skeleton
 from segmill.session import table
 
 
@@ -35,5 +35,34 @@ def p6_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(_edited(spark, sf_dir))
 
 
-QUERIES = {"p4_found": p4_found, "p4_normalised": p4_normalised, "p6_found": p6_found, "p6_classes": p6_classes}
+def p8_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.assign(table(spark, sf_dir, "documents"), packing.read_specs(table(spark, sf_dir, "pack_specs")))
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fills(p8_assignment(spark, sf_dir), packing.read_specs(table(spark, sf_dir, "pack_specs")))
+
+
+def p9_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.select(mixing.token_table(table(spark, sf_dir, "documents")), mixing.read_targets(table(spark, sf_dir, "mix_targets")))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(p9_selection(spark, sf_dir), mixing.read_targets(table(spark, sf_dir, "mix_targets")))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prose = table(spark, sf_dir, "documents").where("file_class = 'prose'")
+    return sentences.split_documents(prose).select("doc_id", "sent_end")
+
+
+def p10_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.split_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "p4_found": p4_found, "p4_normalised": p4_normalised, "p6_found": p6_found, "p6_classes": p6_classes,
+    "p8_assignment": p8_assignment, "p8_fill": p8_fill, "p9_selection": p9_selection, "p9_shares": p9_shares,
+    "p10_found": p10_found, "p10_sentences": p10_sentences,
+}
 ORACLES: dict[str, str] = {}
