@@ -5,10 +5,53 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segmill.llm import mixing, neardup, packing, sentences, skeleton
+from segmill.llm import mixing, mojibake, neardup, packing, pairs, sentences, skeleton, truncation
 from segmill.session import table
 
 
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "seg_current").select(F.col("row_id").alias("id"), "source", "target", "feed")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.defective(_pairs(spark, sf_dir)).select(F.col("id").alias("row_id"), "defect")
+
+
+def p2_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_found(spark, sf_dir).groupBy("defect").agg(F.count("*").alias("pairs"))
+
+
+_CUT_KINDS = {"current.target": "answer", "galtransl_cache.post_jp": "derived"}
+
+
+def _cut_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    current = table(spark, sf_dir, "seg_current").select(F.lit("current.target").alias("field_name"), "feed", F.col("row_id").alias("id"), F.col("target").alias("value"), F.col("source").alias("peer"))
+    cache = table(spark, sf_dir, "galtransl_cache").select(F.lit("galtransl_cache.post_jp").alias("field_name"), "feed", F.col("row_id").alias("id"), F.col("post_jp").alias("value"), F.col("pre_jp").alias("peer"))
+    return current.unionByName(cache)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.judged(_cut_values(spark, sf_dir), _CUT_KINDS).select("field_name", F.col("id").alias("row_id"))
+
+
+def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.rates(_cut_values(spark, sf_dir), _CUT_KINDS)
+
+
+def _garbled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    current = skeleton.forms(table(spark, sf_dir, "seg_current"), "row_id", [("current.source", "source"), ("current.target", "target")])
+    values = current.unionByName(skeleton.forms(table(spark, sf_dir, "galtransl_cache"), "row_id", [("galtransl_cache.pre_jp", "pre_jp")]))
+    return mojibake.repaired(values).withColumnRenamed("id", "row_id")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _garbled(spark, sf_dir).select("field_name", "row_id")
+
+
+def p7_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _garbled(spark, sf_dir).select("field_name", "row_id", "restored", "channel")
+
+
 def _look_alike_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     current = skeleton.forms(table(spark, sf_dir, "seg_current"), "row_id", [("current.source", "source"), ("current.target", "target")])
     return current.unionByName(skeleton.forms(table(spark, sf_dir, "review_rows"), "row_id", [("review.reviewed_target", "reviewed_target")]))
@@ -61,6 +104,7 @@ def p10_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found, "p2_totals": p2_totals, "p5_found": p5_found, "p5_rates": p5_rates, "p7_found": p7_found, "p7_restored": p7_restored,
     "p4_found": p4_found, "p4_normalised": p4_normalised, "p6_found": p6_found, "p6_classes": p6_classes,
     "p8_assignment": p8_assignment, "p8_fill": p8_fill, "p9_selection": p9_selection, "p9_shares": p9_shares,
     "p10_found": p10_found, "p10_sentences": p10_sentences,
