@@ -40,32 +40,43 @@ def bigram_elements(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return _mixed(_mixed(sp) + occurrence.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)), offsets
 
 
+def element_slots(hashes: np.ndarray, bits: int = UNIVERSE_BITS) -> np.ndarray:
+    """The place of every element in the universe of the permutations."""
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
+
+
 @functools.cache
 def _permutations(bits: int, coordinates: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20_000_003)
     size = 1 << bits
     sigma = rng.permutation(size).astype(np.int64)
-    pi = rng.permutation(size).astype(np.int32)
-    return sigma, np.concatenate((pi, pi[:coordinates]))
+    pi = -np.log1p(-(rng.permutation(size) + 0.5) / size)  # the ranks of a permutation as exponential variates
+    return sigma, np.concatenate((pi, pi[:coordinates])).astype(np.float32)
 
 
-def signatures(hashes: np.ndarray, offsets: np.ndarray, coordinates: int, bits: int = UNIVERSE_BITS) -> np.ndarray:
+def signatures(hashes: np.ndarray, offsets: np.ndarray, coordinates: int, weights: np.ndarray | None = None, bits: int = UNIVERSE_BITS) -> np.ndarray:
     """Circulant MinHash: two permutations give all coordinates.
 
     The first permutation places an element, the second is read circularly from there: coordinate k is
     the least value of the second one shifted by k over the placed elements. All coordinates of an element
-    are one contiguous slice.
+    are one contiguous slice. With ``weights`` (of every slot of the universe) the values are divided by
+    the element's weight, so two sets agree with the probability of their weighted Jaccard similarity.
     """
     sigma, pi = _permutations(bits, coordinates)
-    placed = sigma[(hashes >> np.uint64(64 - bits)).astype(np.int64)]
+    slots = element_slots(hashes, bits)
+    placed = sigma[slots]
     slices = np.lib.stride_tricks.sliding_window_view(pi, coordinates)
-    out = np.empty((len(offsets) - 1, coordinates), np.int32)
+    inverse = None if weights is None else (1.0 / weights[slots]).astype(np.float32)[:, None]
+    out = np.empty((len(offsets) - 1, coordinates), np.float32)
     block = 64
     for i in range(0, len(out), block):
         j = min(i + block, len(out))
         lo, hi = offsets[i], offsets[j]
-        np.minimum.reduceat(slices[placed[lo:hi]], offsets[i:j] - lo, axis=0, out=out[i:j])
-    return out
+        values = slices[placed[lo:hi]]
+        if inverse is not None:
+            values *= inverse[lo:hi]
+        np.minimum.reduceat(values, offsets[i:j] - lo, axis=0, out=out[i:j])
+    return out.view(np.uint32)
 
 
 def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -88,3 +99,13 @@ def shared_counts(left: list[str], right: list[str]) -> np.ndarray:
     s, o = both[order], owners[order]
     same = (s[1:] == s[:-1]) & (o[1:] == o[:-1])  # an element is at most once on each side
     return np.bincount(o[1:][same], minlength=n)
+
+
+def bit_sketches(texts: list[str], words: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """``(bits, counts)``: of every text the bits its elements set in ``64 * words``, and their number."""
+    hashes, offsets = bigram_elements(texts)
+    owner = np.repeat(np.arange(len(texts)), np.diff(offsets))
+    bit = (hashes & np.uint64(64 * words - 1)).astype(np.int64)
+    out = np.zeros((len(texts), words), np.uint64)
+    np.bitwise_or.at(out, (owner, bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+    return out, np.diff(offsets)
