@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from segmill.plans import training
+from segmill.plans import migration, quality, training
 
-PARTS = [training]
+PARTS = [training, quality, migration]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return training.p3_totals(spark, sf_dir)
+    """Issue counters of the quality gate over the current catalog."""
+    return quality.qa_counters(spark, sf_dir)
