@@ -77,18 +77,18 @@ def truthy(*texts: Column) -> Column:
     return F.coalesce(*(F.nullif(t, F.lit("")) for t in texts), F.lit(""))
 
 
-def kana_in(text: Column) -> Column:
-    """Different kana of the text without its tokens, sorted."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(without_tokens(text), F.lit(KANA), F.lit(0))))
+def kana_in(bare: Column) -> Column:
+    """Different kana of a text (given without its tokens), sorted."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(bare, F.lit(KANA), F.lit(0))))
 
 
 def zero_width_in(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(ZERO_WIDTH), F.lit(0))))
 
 
-def shown_length(text: Column) -> Column:
-    """Code points without tokens, carriage returns and line feeds."""
-    return F.length(F.translate(without_tokens(text), "\r\n", ""))
+def shown_length(bare: Column) -> Column:
+    """Code points of a text (given without its tokens) but for carriage returns and line feeds."""
+    return F.length(F.translate(bare, "\r\n", ""))
 
 
 def line_count(text: Column) -> Column:
@@ -102,10 +102,9 @@ def occurrences(text: Column, piece: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(piece), F.lit("")))
 
 
-def unbalanced_pairs(text: Column) -> Column:
-    """Punctuation pairs whose opening and closing marks differ in number, tokens left out."""
-    body = without_tokens(text)
-    return F.array_compact(F.array(*(F.when(occurrences(body, a) != occurrences(body, b), F.lit(a + b)) for a, b in PUNCTUATION)))
+def unbalanced_pairs(bare: Column) -> Column:
+    """Punctuation pairs whose opening and closing marks differ in number, in a text given without its tokens."""
+    return F.array_compact(F.array(*(F.when(occurrences(bare, a) != occurrences(bare, b), F.lit(a + b)) for a, b in PUNCTUATION)))
 
 
 def has_unescaped_quote(text: Column) -> Column:

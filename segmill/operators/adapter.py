@@ -39,7 +39,8 @@ def lines(texts: DataFrame) -> DataFrame:
     Lines end at every Unicode line break; only CR, LF and CR LF are terminators, other breaks stay in the
     body. An empty text has no line.
     """
-    whole = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"(?s)(?:(?!{T.LINE_BREAK}).)*(?:{T.LINE_BREAK})|(?:(?!{T.LINE_BREAK}).)+$"), F.lit(0))
+    inner = "[^\\n\\x0b\\f\\r\\x1c\\x1d\\x1e\\u0085\\u2028\\u2029]"
+    whole = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"{inner}*(?:{T.LINE_BREAK})|{inner}+$"), F.lit(0))
     each = texts.select("path", "encoding", "bom", F.posexplode(whole).alias("at", "whole"))
     end = F.regexp_extract("whole", "(\\r\\n|\\r|\\n)$", 1)
     return each.select("path", (F.col("at") + 1).alias("line"), F.expr("substring(whole, 1, length(whole) - length(regexp_extract(whole, '(\\\\r\\\\n|\\\\r|\\\\n)$', 1)))").alias("body"), end.alias("newline"), "encoding", "bom")

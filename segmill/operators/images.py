@@ -5,13 +5,14 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Suffixes that are read (fixed values).
 SUFFIXES = (".png", ".jpg", ".jpeg", ".gif", ".bmp")
 _FACTS = "format string, width int, height int, bit_depth int, alpha boolean, animated boolean, frames int, error string"
+_ARROW_FACTS = pa.struct([("format", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("bit_depth", pa.int32()), ("alpha", pa.bool_()), ("animated", pa.bool_()), ("frames", pa.int32()), ("error", pa.string())])
 
 
 class _Bytes:
@@ -141,16 +142,15 @@ def inventory(files: DataFrame) -> DataFrame:
     ``files`` is ``(path, content)``; other suffixes are left out. Unreadable images keep their error.
     """
 
-    @F.pandas_udf(_FACTS)
-    def facts(path: pd.Series, content: pd.Series) -> pd.DataFrame:
-        names = [c.split()[0] for c in _FACTS.split(", ")]
+    @F.arrow_udf(_FACTS)
+    def facts(path: pa.Array, content: pa.Array) -> pa.Array:
         rows = []
-        for p, c in zip(path, content, strict=True):
+        for p, c in zip(path.to_pylist(), content.to_pylist(), strict=True):
             try:
-                rows.append(READERS["." + p.rsplit(".", 1)[-1].lower()](bytes(c)))
+                rows.append(READERS["." + p.rsplit(".", 1)[-1].lower()](c))
             except (ValueError, struct.error) as error:
                 rows.append({"error": str(error)})
-        return pd.DataFrame(rows, columns=names).astype({"width": "Int32", "height": "Int32", "bit_depth": "Int32", "frames": "Int32"})
+        return pa.array(rows, _ARROW_FACTS)
 
     own = files.where(F.lower("path").rlike(r"\.(?:png|jpe?g|gif|bmp)$"))
     return own.select("path", F.length("content").alias("bytes"), F.sha2("content", 256).alias("sha256"), facts("path", "content").alias("f")).select("path", "bytes", "sha256", "f.*")

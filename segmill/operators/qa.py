@@ -6,9 +6,10 @@ projection without a shuffle; only the comparison of records with each other gro
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,34 +96,40 @@ def _term_issues(policy: Policy) -> Column:
     return F.array_compact(F.array(*parts))
 
 
+@functools.lru_cache(8)
+def _automata(glossary: Glossary):
+    """Automata over the sources, and over all targets and forbidden texts, of a glossary; kept per worker."""
+    import ahocorasick
+
+    def automaton(words: set[str]):
+        own = ahocorasick.Automaton()
+        for word in words:
+            if word:
+                own.add_word(word, word)
+        if len(own):
+            own.make_automaton()
+        return lambda text: {w for _, w in own.iter(text)} if len(own) and text else set()
+
+    return automaton({s for s, _ in glossary.terms}), automaton({t for _, ts in glossary.terms for t in ts} | set(glossary.forbidden))
+
+
 def _automaton_issues(glossary: Glossary) -> Column:
-    """The same for large glossaries: one Aho-Corasick pass over each text instead of one search per term."""
-
-    @F.pandas_udf(f"array<{_ISSUE}>")
-    def of(sources: pd.Series, targets: pd.Series) -> pd.Series:
-        import ahocorasick
-
-        def automaton(words: set[str]):
-            a = ahocorasick.Automaton()
-            for w in words:
-                if w:
-                    a.add_word(w, w)
-            if len(a):
-                a.make_automaton()
-            return a
-
-        in_source = automaton({s for s, _ in glossary.terms})
-        in_target = automaton({t for _, ts in glossary.terms for t in ts} | set(glossary.forbidden))
-        allowed = [(s, ts) for s, ts in glossary.terms]
-        found = lambda a, text: {w for _, w in a.iter(text)} if len(a) and text else set()
-        out = []
-        for s, t in zip(sources, targets, strict=True):
-            held, given, own = found(in_source, s), found(in_target, t), []
+    """The same for larger glossaries: one Aho-Corasick pass over each text instead of one search per term."""
+
+    @F.arrow_udf(f"array<{_ISSUE}>")
+    def of(sources: pa.Array, targets: pa.Array) -> pa.Array:
+        in_source, in_target = _automata(glossary)
+        ends, rows = [0], []
+        for s, t in zip(sources.to_pylist(), targets.to_pylist(), strict=True):
+            held, given = in_source(s), in_target(t)
             if held:
-                own += [("terminology-mismatch", True, f"no allowed translation of {x}", " | ".join(ts)) for x, ts in allowed if x in held and not given.intersection(ts)]
-            own += [("forbidden-term", True, f"the target holds {x}", None) for x in glossary.forbidden if x in given]
-            out.append([dict(zip(("code", "blocking", "message", "detail"), i, strict=True)) for i in own])
-        return pd.Series(out)
+                rows += [("terminology-mismatch", f"no allowed translation of {x}", " | ".join(ts)) for x, ts in glossary.terms if x in held and not given.intersection(ts)]
+            if given:
+                rows += [("forbidden-term", f"the target holds {x}", None) for x in glossary.forbidden if x in given]
+            ends.append(len(rows))
+        text = lambda k: pa.array([r[k] for r in rows], pa.string())
+        issues = pa.StructArray.from_arrays([text(0), pa.array([True] * len(rows), pa.bool_()), text(1), text(2)], names=["code", "blocking", "message", "detail"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), issues)
 
     return of(F.col("source"), F.col("target"))
 
@@ -136,7 +143,7 @@ def record_issues(records: DataFrame, policy: Policy = Policy()) -> DataFrame:
     base = records.withColumns({"source": src, "target": tgt})
     base = base.withColumns({"__s": T.tokens(F.col("source")), "__t": T.tokens(F.col("target"))})
     missing, added = T.multiset_minus(F.col("__s"), F.col("__t")), T.multiset_minus(F.col("__t"), F.col("__s"))
-    base = base.withColumns({"__missing": missing, "__added": added})
+    base = base.withColumns({"__missing": missing, "__added": added, "__bare": T.without_tokens(F.col("target"))})
     joined = lambda c: F.array_join(c, " ")
     rules = [
         F.when(F.size("__missing") > 0, _issue("control-token-missing", True, "control tokens of the source are lacking", joined(F.col("__missing")))),
@@ -146,31 +153,33 @@ def record_issues(records: DataFrame, policy: Policy = Policy()) -> DataFrame:
     if not policy.allow_reordered:
         rules.append(F.when(T.reordered(F.col("__s"), F.col("__t")), _issue("control-token-reordered", True, "control tokens in another order", joined(F.col("__t")))))
     if policy.encoding:
-        base = base.withColumn("__lost", codecs.unencodable(T.without_tokens(F.col("target")), policy.encoding))
+        base = base.withColumn("__lost", codecs.unencodable(F.col("__bare"), policy.encoding))
         rules.append(F.when(F.size("__lost") > 0, _issue("encoding", True, f"not encodable as {policy.encoding}", F.to_json("__lost"))))
     same = (T.stripped(F.col("source")) != "") & (T.stripped(F.col("source")) == T.stripped(F.col("target")))
     rules.append(F.when(same, _issue("unchanged-source", policy.require_translated, "the target equals the source")))
-    kana = T.kana_in(F.col("target"))
+    kana = T.kana_in(F.col("__bare"))
     rules.append(F.when(F.size(kana) > 0, _issue("residual-japanese", policy.reject_japanese, "the target holds kana", F.array_join(F.slice(kana, 1, SHOWN_KANA), ""))))
     hidden = T.zero_width_in(F.col("target"))
     rules.append(F.when(F.size(hidden) > 0, _issue("zero-width-character", True, "the target holds zero-width characters", F.array_join(F.transform(hidden, lambda c: F.concat(F.lit("U+"), F.hex(F.encode(c, "UTF-16BE")))), " "))))
     if policy.max_chars is not None:
-        n = T.shown_length(F.col("target"))
+        n = T.shown_length(F.col("__bare"))
         rules.append(F.when(n > policy.max_chars, _issue("character-budget", True, f"more than {policy.max_chars} characters", n)))
     if policy.max_lines is not None:
         n = T.line_count(F.col("target"))
         rules.append(F.when(n > policy.max_lines, _issue("line-budget", True, f"more than {policy.max_lines} lines", n)))
     found = F.array_compact(F.array(*rules))
     if policy.check_punctuation:
-        found = F.concat(found, F.transform(T.unbalanced_pairs(F.col("target")), lambda p: _issue("punctuation-unbalanced", False, "marks of a pair differ in number", p)))
+        found = F.concat(found, F.transform(T.unbalanced_pairs(F.col("__bare")), lambda p: _issue("punctuation-unbalanced", False, "marks of a pair differ in number", p)))
     found = F.concat(found, _term_issues(policy))
     blank = F.array(_issue("empty-translation", policy.require_complete, "no translation"))
-    return base.withColumn("issues", F.when(T.is_blank(F.col("target")), blank).otherwise(found)).drop("__s", "__t", "__missing", "__added", "__lost")
+    return base.withColumn("issues", F.when(T.is_blank(F.col("target")), blank).otherwise(found)).drop("__s", "__t", "__missing", "__added", "__lost", "__bare")
 
 
 def record_findings(records: DataFrame, policy: Policy = Policy()) -> DataFrame:  # noqa: B008
     """``(row_idx, segment_id, code, blocking, message, detail)``, one row per finding of a single record."""
-    return record_issues(records, policy).select("row_idx", "segment_id", F.explode("issues").alias("i")).select("row_idx", "segment_id", "i.*")
+    # an outer explode keeps the optimiser from pushing a size test below, which would build the issues twice
+    each = record_issues(records, policy).select("row_idx", "segment_id", F.explode_outer("issues").alias("i"))
+    return each.where("i IS NOT NULL").select("row_idx", "segment_id", "i.*")
 
 
 def inconsistent_groups(records: DataFrame) -> DataFrame:

@@ -39,10 +39,11 @@ def tokens_compared(spark, sf_dir):
 
 
 def text_measures(spark, sf_dir):
-    t = F.coalesce("target", F.lit(""))
-    return table(spark, sf_dir, "seg_current").select(
-        "row_id", T.stripped(t).alias("stripped"), T.shown_length(t).cast("long").alias("shown"), T.line_count(t).cast("long").alias("lines"), F.array_join(T.kana_in(t), "").alias("kana"),
-        F.size(T.zero_width_in(t)).cast("long").alias("hidden"), F.array_join(T.unbalanced_pairs(t), " ").alias("unbalanced"), T.has_unescaped_quote(t).alias("unescaped_quote"), F.sha2(t, 256).alias("sha256"),
+    own = table(spark, sf_dir, "seg_current").select("row_id", F.coalesce("target", F.lit("")).alias("t"))
+    t, b = F.col("t"), F.col("b")
+    return own.withColumn("b", T.without_tokens(t)).select(
+        "row_id", T.stripped(t).alias("stripped"), T.shown_length(b).cast("long").alias("shown"), T.line_count(t).cast("long").alias("lines"), F.array_join(T.kana_in(b), "").alias("kana"),
+        F.size(T.zero_width_in(t)).cast("long").alias("hidden"), F.array_join(T.unbalanced_pairs(b), " ").alias("unbalanced"), T.has_unescaped_quote(t).alias("unescaped_quote"), F.sha2(t, 256).alias("sha256"),
     )
 
 
