@@ -37,11 +37,16 @@ def document_frequencies(values: DataFrame) -> tuple[dict[str, int], int]:
     return table, total
 
 
+#: Texts from which document frequencies tell rare characters from common ones.
+TELLING = 200
+
+
 class Commonness:
     """Tells characters that many texts hold (or that belong to plain scripts) from rare ones."""
 
     def __init__(self, frequencies: dict[str, int], texts: int, share: float = 0.01):
         self.common = "".join(sorted(c for c, n in frequencies.items() if n >= max(2, share * texts) and not BROKEN.match(c)))
+        self.telling = texts >= TELLING
         self._rare = None
 
     def rare(self, text: str) -> list[str]:
@@ -50,15 +55,18 @@ class Commonness:
         return self._rare.findall(text)
 
     def __getstate__(self):
-        return {"common": self.common, "_rare": None}
+        return {"common": self.common, "telling": self.telling, "_rare": None}
 
     def suspicious(self, text: str, least: int = 3) -> bool:
         """Whether the text holds ``least`` rare characters, or a broken one."""
         return not text.isascii() and (len(self.rare(text)) >= least or BROKEN.search(text) is not None)
 
     def mostly_rare(self, text: str) -> bool:
-        """Whether a quarter of the visible characters are rare, three at least: foreign or garbled text."""
-        if text.isascii():
+        """Whether a quarter of the visible characters are rare, three at least: foreign or garbled text.
+
+        Never so where too few texts were counted to tell.
+        """
+        if text.isascii() or not self.telling:
             return False
         rare = len(self.rare(text))
         return rare >= 3 and rare * 4 >= len(text.replace(" ", ""))

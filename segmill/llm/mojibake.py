@@ -87,7 +87,7 @@ class Words:
         for c in text:
             total += self.step(before, c)
             before = c
-        return total
+        return total + self.step(before, "\n")
 
     def fitting(self, encoding: str, pattern: tuple[int, ...]) -> list[str]:
         """Known characters whose bytes match a pattern with wildcards, most frequent first."""
@@ -197,8 +197,9 @@ def decode(text: str, read_as: str, really: str, words: Words) -> tuple[str, flo
                     slot[to] = (total, (at, key), char, 1 if mode else 0)
     if not best[n]:
         return text, -math.inf, 0
-    key = max(best[n], key=lambda k: best[n][k][0])
-    score, out, decoded, at = best[n][key][0], [], set(), n
+    ends = {k: v[0] + words.step(k[0], "\n") for k, v in best[n].items()}
+    key = max(ends, key=ends.get)
+    score, out, decoded, at = ends[key], [], set(), n
     while True:
         _, back, char, flag = best[at][key]
         if back is None:
@@ -307,8 +308,7 @@ def word_counts(values: DataFrame, common: charstats.Commonness, pairs: int = PA
             for t in batch.column(0).to_pylist():
                 if t and not shared.value.suspicious(t, 1):
                     held.update(t)
-                    line = "\n" + t
-                    held.update(map(str.__add__, line, t))
+                    held.update(map(str.__add__, "\n" + t, t + "\n"))
             if len(held) > 2_000_000:
                 yield _counts(held)
                 held.clear()

@@ -265,7 +265,7 @@ def rates(values: DataFrame, kinds: dict[str, str]) -> DataFrame:
     seen = observed(values, kinds)
     cut = judged(values, kinds, seen).groupBy("field_name", "feed").agg(F.count("*").alias("cut"))
     texts = seen.where("n IS NOT NULL AND unit = 'chars'").groupBy("field_name", "feed").agg(F.sum("n").alias("texts"))
-    sure = cut_limits(seen).groupBy("field_name", "feed").agg(F.max_by(F.struct("unit", "limit_at"), "posterior").alias("best"))
+    sure = cut_limits(seen).groupBy("field_name", "feed").agg(F.max_by(F.struct("unit", "limit_at"), F.struct(F.round("posterior", 3), F.col("unit") == "chars")).alias("best"))
     on = lambda other: [F.col("t.field_name") == F.col(f"{other}.field_name"), F.col("t.feed").eqNullSafe(F.col(f"{other}.feed"))]
     out = texts.alias("t").join(cut.alias("c"), on("c"), "left").join(sure.alias("s"), on("s"), "left")
     n = F.coalesce("c.cut", F.lit(0))
