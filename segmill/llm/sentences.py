@@ -30,7 +30,7 @@ _END = ".!?…。！？｡؟۔।॥‼⁇⁈⁉"
 _PAIRS = {"“": "”", "„": "“", "«": "»", "‹": "›", "「": "」", "『": "』", "（": "）", "(": ")", "《": "》", "〈": "〉", "【": "】", "[": "]", "［": "］", "‘": "’", "〝": "〟"}
 _BRACKETS = set("（([［【")
 _CLOSERS = "”’»›」』）)】〉》]］〟"
-_POSITION = regex.compile(rf"[{regex.escape(_END)}]+[   ]?[»›]|[{regex.escape(_END)}{_CLOSED}]+[{regex.escape(_CLOSERS)}]*")
+_POSITION = regex.compile(rf"[{regex.escape(_END)}]+[ \u00a0\u202f]?[»›]|[{regex.escape(_END)}{_CLOSED}]+[{regex.escape(_CLOSERS)}]*")
 _LEADS = regex.compile(rf"(?:\A|[{regex.escape(_END + _CLOSED)}][{regex.escape(_CLOSERS)}]*)\s*\Z")
 _OPEN = regex.compile("[" + regex.escape("".join(_PAIRS) + "\"") + "]")
 
@@ -150,8 +150,11 @@ def dense(never: str) -> tuple[Rule, ...]:
 
 #: Own tables of languages, before those of the writing system.
 OWN = {
-    "de": _rules((NO_BREAK, r"(?<!\p{N})(?<!Nr\.\s)\p{N}{1,2}\.", rf"\s+(?:\p{{Ll}}|(?:{_MONTHS})(?!\p{{L}}))")),
-    "fr": _rules((NO_BREAK, r"[!?]", r"[\s  ][»›]")),
+    "de": _rules(
+        (NO_BREAK, rf"{_WORD}[a-zäöü]\.", r"\s?\p{Lu}\.(?!\p{L})"),
+        (NO_BREAK, r"(?<!\p{N})(?<!Nr\.\s)\p{N}{1,2}\.", rf"\s+(?:\p{{Ll}}|(?:{_MONTHS})(?!\p{{L}}))"),
+    ),
+    "fr": _rules((NO_BREAK, r"[!?]", r"[\s\u00a0\u202f][»›]")),
     "hi": _rules((NO_BREAK, rf"{_WORD}(?:मि\.से|मि|से|कि\.मी|कि|मी)\.", r"\s")),
 }
 _SYSTEM = {"ja": dense, "zh": dense, "ko": spaced, "ar": spaced, "hi": spaced, "th": spaced}

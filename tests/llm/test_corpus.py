@@ -180,7 +180,7 @@ CASES = [
     ("en", "Dr. Smith met J. Doe at 5 p.m. on Monday.| It cost 3.5 dollars, e.g. a lot.| Why \"v1.2\"?| Yes!", None),
     ("en", 'The log says "Stop. Do not merge." for now.| "Ready?" asks he.| (All done.)| It (off!) stays.| So... is it?', None),
     ("en", "Acme Works, Inc. owns it.| We saw maps, etc. |See fig. 3.", "|"),
-    ("de", "Am 19. Mai kam u. a. Dr. Kest.| „Halt. Noch nicht.“ stand da.| Nr. 4 bleibt offen...| Siehe S. 3 bzw. Abb. 2.", None),
+    ("de", "Am 19. Mai kam u. a. Dr. Kest, z. B. um 5.| „Halt. Noch nicht.“ stand da.| Nr. 4 bleibt offen...| Siehe S. 3 bzw. Abb. 2.", None),
     ("fr", "Voir p. 4, p. ex. la table.| « Prêt ? » demande M. Petit.| C'est fini !", None),
     ("es", "El Sr. Paz llegó a las 9.10 h.| ¿Y qué pasa con el n.º 3?| Véase la pág. 2.", None),
     ("ru", "См. стр. 4, т. е. всё.| Есть карты и т. д.| «Готов ли он?» спрашивает бот.", None),
