@@ -182,15 +182,22 @@ def record_findings(records: DataFrame, policy: Policy = Policy()) -> DataFrame:
     return each.where("i IS NOT NULL").select("row_idx", "segment_id", "i.*")
 
 
+def _complete(records: DataFrame) -> DataFrame:
+    return records.select(T.stripped(F.col("source")).alias("key"), T.stripped(F.col("target")).alias("tgt")).where("key <> '' AND tgt <> ''")
+
+
+def differing_keys(records: DataFrame) -> DataFrame:
+    """``(key)``: stripped sources with two or more different stripped targets, told by the least and the greatest."""
+    return _complete(records).groupBy("key").agg(F.min("tgt").alias("lo"), F.max("tgt").alias("hi")).where("lo <> hi").select("key")
+
+
 def inconsistent_groups(records: DataFrame) -> DataFrame:
-    """``(key, targets, targets_shown)`` of stripped sources with two or more different stripped targets.
+    """``(key, targets, targets_shown)`` of the sources of :func:`differing_keys`.
 
-    Groups are told by their least and greatest target, so that no group is ever listed; the targets
-    shown, the ten least, are ranked with a limit that applies before the shuffle.
+    No group is ever listed; the targets shown, the ten least, are ranked with a limit that applies before
+    the shuffle.
     """
-    complete = records.select(T.stripped(F.col("source")).alias("key"), T.stripped(F.col("target")).alias("tgt")).where("key <> '' AND tgt <> ''")
-    differing = complete.groupBy("key").agg(F.min("tgt").alias("lo"), F.max("tgt").alias("hi")).where("lo <> hi").select("key")
-    variants = complete.join(differing, "key").distinct()
+    variants = _complete(records).join(differing_keys(records), "key").distinct()
     shown = variants.withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy("tgt"))).where(F.col("k") <= SHOWN_TARGETS)
     counts = variants.groupBy("key").agg(F.count("*").alias("targets"))
     return counts.join(shown.groupBy("key").agg(F.sort_array(F.collect_list("tgt")).alias("targets_shown")), "key")
@@ -218,7 +225,7 @@ def counters(records: DataFrame, policy: Policy = Policy()) -> DataFrame:  # noq
     With ``check_punctuation`` and a completed record its counter is there even at 0.
     """
     own = record_findings(records, policy).groupBy("code").agg(F.count("*").alias("n"))
-    groups = inconsistent_groups(records).agg(F.count("*").alias("n")).where("n > 0").select(F.lit("inconsistent-translation").alias("code"), "n")
+    groups = differing_keys(records).agg(F.count("*").alias("n")).where("n > 0").select(F.lit("inconsistent-translation").alias("code"), "n")
     out = own.unionByName(groups)
     if policy.check_punctuation:
         any_done = records.where(~T.is_blank(F.col("target"))).limit(1).select(F.lit("punctuation-unbalanced").alias("code"), F.lit(0).cast("long").alias("n"))
@@ -232,15 +239,18 @@ def summary(records: DataFrame, policy: Policy = Policy()) -> DataFrame:  # noqa
     A record with findings of one severity is one row of that severity; a finding of the comparison adds
     to the row of the same id or, once per id without one, a further row.
     """
-    issued = record_issues(records, policy)
     failing, warning = F.exists("issues", lambda i: i["blocking"]), F.exists("issues", lambda i: ~i["blocking"])
-    totals = issued.agg(
-        F.count("*").alias("total_records"), F.count_if(~T.is_blank(F.col("target"))).alias("completed"), F.count_if(failing).alias("failed"), F.count_if(warning).alias("warned")
-    )
-    known = issued.where(failing if policy.require_consistent else warning).select("segment_id").distinct().withColumn("known", F.lit(True))
-    ids = inconsistent_findings(records, policy).select("segment_id").distinct()
-    further = ids.alias("i").join(known.alias("k"), F.col("i.segment_id").eqNullSafe(F.col("k.segment_id")), "left_anti").agg(F.count("*").alias("further"))
-    both = totals.withColumn("one", F.lit(1)).join(further.withColumn("one", F.lit(1)), "one")
+    done = ~T.is_blank(F.col("target"))
+    judged = record_issues(records, policy).select("segment_id", F.when(done, T.stripped(F.col("source"))).alias("key"), done.alias("done"), failing.alias("failing"), warning.alias("warning"))
+    member = differing_keys(records).withColumn("member", F.lit(True))
+    side = "failing" if policy.require_consistent else "warning"
+    # by id first: an id's further row depends on its other rows, and ids are counted where they meet
+    per_id = judged.join(member, "key", "left").groupBy("segment_id").agg(
+        F.count("*").alias("n"), F.count_if("done").alias("done"), F.count_if("failing").alias("failing"), F.count_if("warning").alias("warning"),
+        (F.coalesce(F.bool_or("member"), F.lit(False)) & ~F.bool_or(side)).alias("further"),
+    )
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    both = per_id.agg(total("n").alias("total_records"), total("done").alias("completed"), total("failing").alias("failed"), total("warning").alias("warned"), F.count_if("further").alias("further"))
     failed = F.col("failed") + (F.col("further") if policy.require_consistent else F.lit(0))
     warned = F.col("warned") + (F.lit(0) if policy.require_consistent else F.col("further"))
     return both.select(

@@ -15,9 +15,27 @@ BLANK = "".join(
 )
 
 
+#: Bytes from which a table read in too few tasks is worth spreading.
+SPREAD_BYTES = 1_000_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One table of a data directory, as a lazy Parquet scan."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One table of a data directory, as a lazy Parquet scan, spread over the cores if its files are too few."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A file scan with at least half as many tasks as cores.
+
+    One small file with one row group is one task, whatever the work on its rows. Data of any size has more
+    splits than cores and stays as it is: no shuffle is added. Filters and column selections still reach
+    the scan.
+    """
+    execution = scan._jdf.queryExecution()
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if int(str(execution.optimizedPlan().stats().sizeInBytes())) < SPREAD_BYTES or execution.toRdd().getNumPartitions() * 2 > cores:
+        return scan
+    return scan.repartition(cores)
 
 
 def session(app: str = "segmill", cores: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
