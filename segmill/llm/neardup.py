@@ -19,8 +19,9 @@ BANDS, ROWS = 24, 3
 PLAIN_BANDS, PLAIN_ROWS = 8, 8
 #: Greatest ratio of two elements' weights.
 RATIO = 32.0
-#: A bucket of more members is worked in blocks of this many, block against block, in tasks of their own.
-BLOCK = 256
+#: Buckets of more than ``HOT`` members are worked in blocks of ``BLOCK``, block against block, in tasks of their own:
+#: a text then moves once a block instead of once a pair.
+HOT, BLOCK = 32, 256
 
 _ENTRY = np.dtype([("key", "<u8"), ("id", "<i8")])
 
@@ -143,7 +144,8 @@ def _candidates(block: int):
         keys, ids = keys[order], ids[order]
         starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
         sizes = np.diff(np.append(starts, len(keys)))
-        small = (sizes > 1) & (sizes <= block)
+        limit = min(HOT, block)
+        small = (sizes > 1) & (sizes <= limit)
         a, b = _pairs_of_runs(ids, starts[small], sizes[small])
         if len(a):
             both = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0)
@@ -153,7 +155,7 @@ def _candidates(block: int):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(part[:, 0]), pa.array(part[:, 1]), pa.nulls(n, pa.int64()), pa.nulls(n, schema.field("left").type), pa.nulls(n, schema.field("right").type)], schema=schema
                 )
-        for s, n in zip(starts[sizes > block], sizes[sizes > block], strict=True):
+        for s, n in zip(starts[sizes > limit], sizes[sizes > limit], strict=True):
             pieces = [ids[s + i : s + min(i + block, n)] for i in range(0, n, block)]
             for i, x in enumerate(pieces):
                 for y in pieces[i:]:
@@ -218,8 +220,8 @@ def similar_texts(texts: DataFrame, threshold: float = 0.8, bands: int = BANDS,
     """``(a, b, similarity)``, a < b: pairs of distinct texts (by ``rep``) with Dice ``threshold`` or more.
 
     Takes :func:`distinct_texts`. Signatures are made in NumPy; band entries move packed (6 bytes of key,
-    a packed id), one shuffle for all bands. A bucket with more than ``block`` members, be it a third of
-    all texts, is worked block against block in separate tasks, so no task holds its pairs. Every
+    a packed id), one shuffle for all bands. A bucket with many members, be it a third of all texts, is
+    worked block against block in separate tasks, so no task holds its pairs. Every
     candidate is verified on the whole texts; no bucket is capped or dropped.
     """
     spark = texts.sparkSession
