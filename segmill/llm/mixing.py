@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from segmill.llm import tokens
-from segmill.session import checkpointed
+from segmill.session import checkpointed, small_table
 
 #: Share of the largest attainable total that is drawn: the source that limits it keeps room to tilt.
 SLACK = 0.98
@@ -124,6 +124,6 @@ def shares(selection: DataFrame, targets: Mapping[str, Target]) -> DataFrame:
 def read_targets(rows: DataFrame) -> dict[str, Target]:
     """The targets, a fixed small table; of a source named twice the larger share holds."""
     out: dict[str, Target] = {}
-    for r in rows.where("source IS NOT NULL").orderBy("source", "target_share").limit(10_000).collect():
+    for r in small_table(rows.where("source IS NOT NULL").orderBy("source", "target_share"), 10_000):
         out[r.source] = Target(r.target_share or 0.0, r.max_repeats or 0)
     return out

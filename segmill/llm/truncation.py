@@ -138,7 +138,7 @@ def limits(histogram: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["unit", "limit_at", "posterior"])
 
 
-def _observe(kinds: dict[str, str], common, judge: Callable):
+def _observe(common, judge: Callable):
     """Per batch: the histogram of lengths, and the values with open endings one by one."""
 
     def observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,11 +193,11 @@ def _excused(field: str, peer: str | None, text: str, common: charstats.Commonne
     return answers.looks_garbled(text, common)
 
 
-def observed(values: DataFrame, kinds: dict[str, str]) -> DataFrame:
+def observed(values: DataFrame) -> DataFrame:
     """One pass over ``(field_name, feed, id, value, peer)``: histograms and open endings, checkpointed (small)."""
     spark = values.sparkSession
     common = spark.sparkContext.broadcast(charstats.commonness(values))
-    return checkpointed(values.select("field_name", "feed", "id", "value", "peer").mapInArrow(_observe(kinds, common, _excused), _SHAPE))
+    return checkpointed(values.select("field_name", "feed", "id", "value", "peer").mapInArrow(_observe(common, _excused), _SHAPE))
 
 
 def cut_limits(seen: DataFrame) -> DataFrame:
@@ -223,7 +223,7 @@ def judged(values: DataFrame, kinds: dict[str, str], seen: DataFrame | None = No
     NULL, empty and blank values are never cut; a NULL source of the text is a source like the others;
     repeated rows are judged alike; whole texts count, however long. Empty tables give no rows.
     """
-    seen = observed(values, kinds) if seen is None else seen
+    seen = observed(values) if seen is None else seen
     open_ = seen.where("n IS NULL").drop("unit", "length", "complete", "n")
     repeats = open_.groupBy("field_name", "value").agg(F.count("*").alias("times"))
     found = cut_limits(seen).groupBy("field_name", "feed").agg(F.collect_list(F.struct("unit", "limit_at", "posterior")).alias("limits"))
@@ -262,7 +262,7 @@ def rates(values: DataFrame, kinds: dict[str, str]) -> DataFrame:
 
     ``unit`` and ``limit_at`` are those of the most certain limit, NULL where a source cuts anywhere.
     """
-    seen = observed(values, kinds)
+    seen = observed(values)
     cut = judged(values, kinds, seen).groupBy("field_name", "feed").agg(F.count("*").alias("cut"))
     texts = seen.where("n IS NOT NULL AND unit = 'chars'").groupBy("field_name", "feed").agg(F.sum("n").alias("texts"))
     sure = cut_limits(seen).groupBy("field_name", "feed").agg(F.max_by(F.struct("unit", "limit_at"), F.struct(F.round("posterior", 3), F.col("unit") == "chars")).alias("best"))
