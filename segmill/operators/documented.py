@@ -1,4 +1,4 @@
-"""Checks that the reference's handbooks describe in prose only: small relational operators, each a few lines.
+"""Checks known from prose only: small relational operators, each a few lines.
 
 All take plain tables, leave NULLs unequal to everything unless said otherwise, and return findings; an
 empty input gives no finding.

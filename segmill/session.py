@@ -31,7 +31,7 @@ def spread(scan: DataFrame) -> DataFrame:
     splits than cores and stays as it is: no shuffle is added. Filters and column selections still reach
     the scan.
     """
-    execution = scan._jdf.queryExecution()
+    execution = scan._jdf.queryExecution()  # planning only: nothing runs
     cores = scan.sparkSession.sparkContext.defaultParallelism
     if int(str(execution.optimizedPlan().stats().sizeInBytes())) < SPREAD_BYTES or execution.toRdd().getNumPartitions() * 2 > cores:
         return scan
@@ -81,3 +81,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` by a reliable checkpoint (never a local one: executors can be lost)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def small_table(rows: DataFrame, most: int) -> list:
+    """The rows of a configuration table; one that isn't small is refused, never cut."""
+    held = rows.limit(most + 1).collect()
+    if len(held) > most:
+        raise ValueError(f"a configuration table has more than {most} rows")
+    return held

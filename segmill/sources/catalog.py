@@ -7,10 +7,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from segmill.functions import text as X
 from segmill.operators.qa import Glossary
+from segmill.session import small_table
 
 #: Keys of a JSON object that may hold its records, in order of preference (fixed value).
 RECORD_KEYS = ("records", "items", "data", "translations")
@@ -75,13 +75,11 @@ def read_json(spark: SparkSession, path: str, allow_map: bool = True) -> DataFra
 
 def fields(records: DataFrame, names: Sequence[str]) -> DataFrame:
     """The records with text columns of ``raw``'s fields; values that aren't texts are NULL, as are absent ones."""
-    kept = F.from_json("raw", T.MapType(T.StringType(), T.StringType()))
     variant = F.try_parse_json("raw")
     cols = []
     for n in names:
         is_text = F.schema_of_variant(F.try_variant_get(variant, f"$['{n}']", "variant")) == "STRING"
         cols.append(F.when(is_text, F.try_variant_get(variant, f"$['{n}']", "string")).alias(n))
-    del kept
     return records.select("*", *cols)
 
 
@@ -144,7 +142,7 @@ def glossary_of(rows: DataFrame) -> Glossary:
     """All terms of a table of glossaries (``terms``, ``forbidden``), a small configuration table."""
     terms: dict[tuple, None] = {}
     forbidden: dict[str, None] = {}
-    for row in rows.orderBy("glossary_id").collect():
+    for row in small_table(rows.orderBy("glossary_id"), 100_000):
         for t in row.terms or ():
             terms[t.source, tuple(t.targets or ())] = None
         forbidden.update(dict.fromkeys(row.forbidden or ()))
