@@ -6,6 +6,9 @@ empty input gives no finding.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +33,6 @@ def magic_kind(content: Column) -> Column:
 
 def prefixed_strings(content: DataFrame, encoding: str = "cp932", least: int = 2, most: int = 1024) -> DataFrame:
     """``(path, offset, text)``: length-prefixed strings ``[u32 LE][bytes][00]`` that decode and encode back alike."""
-    import pandas as pd
-
     @F.pandas_udf("array<struct<offset:int,text:string>>")
     def scan(contents: pd.Series) -> pd.Series:
         def one(raw: bytes) -> list[dict]:
@@ -58,8 +59,8 @@ def prefixed_strings(content: DataFrame, encoding: str = "cp932", least: int = 2
 
 def completeness(known: DataFrame, found: DataFrame, keys: list[str], source: str = "source") -> DataFrame:
     """``(keys, status)``: ``known-match``, ``source-mismatch``, ``new-candidate`` or ``not-found``."""
-    both = known.select(*keys, F.col(source).alias("k")).withColumn("a", F.lit(1)).join(found.select(*keys, F.col(source).alias("f")).withColumn("b", F.lit(1)), keys, "full_outer")
-    status = F.when(F.col("a").isNull(), "new-candidate").when(F.col("b").isNull(), "not-found").when(F.col("k").eqNullSafe(F.col("f")), "known-match").otherwise("source-mismatch")
+    both = known.select(*keys, F.col(source).alias("__k"), F.lit(1).alias("__a")).join(found.select(*keys, F.col(source).alias("__f"), F.lit(1).alias("__b")), keys, "full_outer")
+    status = F.when(F.col("__a").isNull(), "new-candidate").when(F.col("__b").isNull(), "not-found").when(F.col("__k").eqNullSafe(F.col("__f")), "known-match").otherwise("source-mismatch")
     return both.select(*keys, status.alias("status"))
 
 
@@ -81,8 +82,8 @@ def sequences_equal(a: DataFrame, b: DataFrame, group: str, position: str, value
 
     Positions are joined and differences counted, so no sequence is ever gathered.
     """
-    both = a.select(group, position, F.col(value).alias("x"), F.lit(1).alias("p")).join(b.select(group, position, F.col(value).alias("y"), F.lit(1).alias("q")), [group, position], "full_outer")
-    same = F.col("p").isNotNull() & F.col("q").isNotNull() & F.col("x").eqNullSafe(F.col("y"))
+    both = a.select(group, position, F.col(value).alias("__x"), F.lit(1).alias("__a")).join(b.select(group, position, F.col(value).alias("__y"), F.lit(1).alias("__b")), [group, position], "full_outer")
+    same = F.col("__a").isNotNull() & F.col("__b").isNotNull() & F.col("__x").eqNullSafe(F.col("__y"))
     return both.groupBy(group).agg((F.count_if(~same) == 0).alias("equal"))
 
 
@@ -205,9 +206,6 @@ def composed_check(rows: DataFrame, encoding: str) -> DataFrame:
 
 def pixel_delta(pairs: DataFrame) -> DataFrame:
     """``(path, same_alpha, max_delta, mean_delta)`` of raw RGBA pixels ``(path, before, after)``."""
-    import numpy as np
-    import pyarrow as pa
-
     shape = pa.struct([("same_alpha", pa.bool_()), ("max_delta", pa.int32()), ("mean_delta", pa.float64())])
 
     @F.arrow_udf("same_alpha boolean, max_delta int, mean_delta double")
