@@ -15,8 +15,9 @@ from segmill.session import checkpointed
 
 #: Weighted bands: 26 of 3 rows find a pair of weighted Jaccard 0.5 with 97 %, 0.6 with 99.8 %, and meet one of 0.05 with 0.3 %.
 BANDS, ROWS = 26, 3
-#: Bands on unweighted signatures, for families so large that their own wording counts as common.
-PLAIN_BANDS, PLAIN_ROWS = 8, 6
+#: Bands on unweighted signatures, for families so large that their own wording counts as common: 36 of 6 rows find a pair
+#: of Dice 0.80 with 96 %, 0.85 with 99.8 %.
+PLAIN_BANDS, PLAIN_ROWS = 36, 6
 #: Greatest ratio of two elements' weights.
 RATIO = 32.0
 #: Buckets of more than ``HOT`` members are worked in blocks of ``BLOCK``, block against block, in tasks of their own:

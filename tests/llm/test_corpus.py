@@ -65,6 +65,19 @@ def test_large_buckets_lose_nothing(spark):
     assert small == whole <= want and len(whole) >= 0.99 * len(want)  # though their wording is in every text
 
 
+def test_family_of_a_third_of_all_texts(spark):
+    rng = random.Random(5)
+    root, rows = [chr(0x4E00 + rng.randrange(300)) for _ in range(60)], []
+    for i in range(360):
+        text = list(root) if i % 3 == 0 else [chr(0x4E00 + rng.randrange(3000)) for _ in range(60)]
+        for p in rng.sample(range(60), 3) if i % 3 == 0 else ():
+            text[p] = chr(0x6000 + rng.randrange(8000))
+        rows.append((i, "".join(text)))
+    texts = neardup.distinct_texts(spark.createDataFrame(rows, "id long, text string"), 24)
+    got, want = {(r.a, r.b) for r in neardup.similar_texts(texts).collect()}, brute(rows)
+    assert got <= want and len(want) > 1000 and len(got) >= 0.97 * len(want)  # their own wording is common, their edits are rare
+
+
 def test_classes(spark):
     rows = near_rows(60, 5)
     df = spark.createDataFrame(rows, "id long, text string")
