@@ -32,6 +32,7 @@ def memory_decisions(spark, sf_dir):
 
 
 def memory_summary(spark, sf_dir):
+    """Counters of the exact steps, as its SQL has them (no suggestions); see :func:`memory_summary_similar`."""
     past = previous(spark, sf_dir)
     return memory.summary(memory.decisions(current(spark, sf_dir), past, threshold=None), past.count(), 0.86)
 
@@ -47,11 +48,23 @@ def memory_merged(spark, sf_dir):
     return memory.merged(now, memory.decisions(now, previous(spark, sf_dir), threshold=None))
 
 
+def memory_summary_similar(spark, sf_dir):
+    """Counters of all steps; the similarity has no SQL form (see the brute-force test)."""
+    past = previous(spark, sf_dir)
+    return memory.summary(memory.decisions(current(spark, sf_dir), past), past.count())
+
+
 def memory_review_queue(spark, sf_dir):
+    """Queue of the exact steps, as its SQL has it (no suggestions); see :func:`memory_review_queue_similar`."""
     own = memory.decisions(current(spark, sf_dir), previous(spark, sf_dir), threshold=None)
     return memory.review_queue(own, _HASH).select("current_sha256", "segment_id", "decision", "reason", "previous_catalog", "reviewed_target")
 
 
+def memory_review_queue_similar(spark, sf_dir):
+    """Queue of all steps with all its columns; the similarity has no SQL form (see the brute-force test)."""
+    return memory.review_queue(memory.decisions(current(spark, sf_dir), previous(spark, sf_dir)), _HASH)
+
+
 def _catalog(spark, sf_dir):
     """The newest record of every segment."""
     rows = table(spark, sf_dir, "seg_current")
@@ -80,6 +93,7 @@ def review_judged_gbk(spark, sf_dir):
 
 QUERIES = {
     "memory_decisions": memory_decisions, "memory_summary": memory_summary, "memory_similar": memory_similar, "memory_merged": memory_merged, "memory_review_queue": memory_review_queue,
+    "memory_summary_similar": memory_summary_similar, "memory_review_queue_similar": memory_review_queue_similar,
     "review_judged": review_judged, "review_summary": review_summary, "review_judged_gbk": review_judged_gbk,
 }
 

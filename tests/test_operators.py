@@ -1,5 +1,6 @@
 import hashlib
 import json
+import os
 import random
 import struct
 import zlib
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from segmill.operators import adapter, audit, documented, images, manifest, memory, qa, review, similarity, slots
+from segmill.plans import migration
 from segmill.sources import catalog, review_csv, sinks, tree
 
 REC = "row_idx long, segment_id string, source string, target string"
@@ -78,6 +80,33 @@ def test_memory_golden(spark):
         memory.decisions(recs(spark, [("1", "", "")]), past)
 
 
+def test_memory_queries_run_all_steps(spark):
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("no test data")
+    exact = memory.decisions(migration.current(spark, sf), migration.previous(spark, sf), threshold=None).join(migration.current(spark, sf).select("row_idx", "source"), "row_idx").collect()
+    past = {(r.segment_id, r.source, r.target, r.origin) for r in memory.with_ids(migration.previous(spark, sf)).where("target <> '' AND source <> '' AND target <> source").collect()}
+    want = {}
+    for r in exact:
+        if r.decision in memory.REVIEWED:
+            want[r.segment_id] = (r.decision, "", "", "")
+        if r.decision == "pending":
+            hits = []
+            for h in past:
+                m = SequenceMatcher(None, r.source, h[1], autojunk=False)
+                if m.real_quick_ratio() >= 0.86 and m.quick_ratio() >= 0.86 and m.ratio() >= 0.86:
+                    hits.append((m.ratio(), *h))
+            if hits:
+                ratio, _, source, target, _ = max(hits)
+                want[r.segment_id] = ("review-suggestion", str(round(ratio, 6)), source, target)
+    queue = migration.memory_review_queue_similar(spark, sf).collect()
+    assert {r.segment_id: (r.decision, r.similarity, r.previous_source, r.suggested_target) for r in queue} == want and len(queue) == len(want)
+    n = lambda d: sum(v[0] == d for v in want.values())
+    s = migration.memory_summary_similar(spark, sf).first()
+    assert s.suggestions == n("review-suggestion") > 0 and s.conflicts == n("conflict") and s.pending == len(want) and s.fuzzy_threshold == 0.86
+    assert s.kept_current + s.reused_by_id + s.reused_by_source + s.pending == s.current_records == len(exact)
+
+
 @pytest.mark.parametrize("threshold", [0.55, 0.7, 0.86])
 def test_similarity_join_is_exact(spark, threshold):
     rng = random.Random(7)
