@@ -14,8 +14,9 @@ import bisect
 import functools
 import math
 import re
+from array import array
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,8 +35,6 @@ CHANNELS = (
 )
 _LENGTHS = {"utf-8": (2, 3, 4), "cp932": (2, 1), "euc-jp": (2, 3), "gbk": (2,), "big5": (2,)}
 LOST, FOREIGN = -1, -2
-#: Word pairs kept for the model: the most frequent ones, so that its size is bounded (some 10 MB).
-PAIRS = 200_000
 #: Log probability of a character that no sound text holds; costs of entering and leaving a garbled stretch.
 UNSEEN, ENTER, LEAVE = -16.0, -6.0, -2.0
 #: Least number of different characters decoded and least gain over the text as it stands: for UTF-8, whose bytes
@@ -67,18 +66,24 @@ def foreign(before: str, char: str) -> float:
 
 
 class Words:
-    """Corpus frequencies of characters and pairs as conditional log probabilities with back-off."""
+    """Corpus frequencies of characters and pairs as conditional log probabilities with back-off.
 
-    def __init__(self, single: dict[str, int], pair: dict[str, int]):
+    ``following`` has, of every first character, the second ones as one string and the counts of the pairs in
+    its order: some six bytes a pair, all pairs seen more than once, bounded by the character repertoire.
+    """
+
+    def __init__(self, single: dict[str, int], following: Iterable[tuple[str, str, Sequence[int]]]):
         total = max(1, sum(single.values()))
         self.single = {c: math.log(n / total) for c, n in single.items()}
-        self.pair = {p: math.log(n / single[p[0]]) for p, n in pair.items() if n > 1 and single.get(p[0])}
+        self.following = {c: (seconds, array("f", [math.log(n / single[c]) for n in counts])) for c, seconds, counts in following if single.get(c)}
         self._fitting: dict[str, dict] = {}
 
     def step(self, before: str, char: str) -> float:
-        found = self.pair.get(before + char)
-        if found is not None:
-            return found
+        row = self.following.get(before)
+        if row is not None:
+            place = row[0].find(char)
+            if place >= 0:
+                return row[1][place]
         found = self.single.get(char)
         return found - 1.5 if found is not None else foreign(before, char)
 
@@ -111,7 +116,7 @@ class Words:
         return table.get(pattern, [])
 
     def __getstate__(self):
-        return {"single": self.single, "pair": self.pair, "_fitting": {}}
+        return {"single": self.single, "following": self.following, "_fitting": {}}
 
 
 @functools.lru_cache(200_000)
@@ -297,8 +302,11 @@ def restore(text: str, common: charstats.Commonness, words: Words, channels: Seq
     return len(charstats.BROKEN.findall(inner)) >= 2, None, None
 
 
-def word_counts(values: DataFrame, common: charstats.Commonness, pairs: int = PAIRS) -> Words:
-    """:class:`Words` of all texts without unusual characters; the pairs kept are the most frequent ones."""
+def word_counts(values: DataFrame, common: charstats.Commonness) -> Words:
+    """:class:`Words` of all texts without unusual characters: all characters, and all pairs seen more than once.
+
+    What reaches the driver is one row per character, with the characters seen after it.
+    """
     spark = values.sparkSession
     shared = spark.sparkContext.broadcast(common)
 
@@ -315,9 +323,17 @@ def word_counts(values: DataFrame, common: charstats.Commonness, pairs: int = PA
         yield _counts(held)
 
     counted = values.select("value").where("value IS NOT NULL").mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    counted = counted.where("length(w) = 1 OR n > 1").orderBy(F.length("w"), F.desc("n"), "w")
-    rows = counted.limit(pairs + 20_000).collect()  # all characters, then the most frequent pairs
-    return Words({r.w: r.n for r in rows if len(r.w) == 1}, {r.w: r.n for r in rows if len(r.w) == 2})
+    counted = counted.where("length(w) = 1 OR n > 1")
+    by_first = counted.groupBy(F.substring("w", 1, 1).alias("c")).agg(
+        F.max(F.when(F.length("w") == 1, F.col("n"))).alias("n"), F.sort_array(F.collect_list(F.when(F.length("w") == 2, F.struct("n", F.substring("w", 2, 1).alias("c")))), False).alias("after")
+    )
+    packed = by_first.select("c", "n", F.array_join("after.c", "").alias("seconds"), F.col("after.n").alias("counts"))
+    single, following = {}, []
+    for r in packed.collect():
+        if r.n:
+            single[r.c] = r.n
+            following.append((r.c, r.seconds, array("q", r.counts)))
+    return Words(single, following)
 
 
 def _counts(held: Counter[str]) -> pa.RecordBatch:

@@ -1,8 +1,9 @@
 """Answers, truncation, look-alikes and wrong encodings."""
 
+import math
 import random
 import unicodedata
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -192,3 +193,14 @@ def test_repaired_rows(spark):
     got = [(r.id, r.restored) for r in mojibake.repaired(df).orderBy("id").collect()]
     assert got[:2] == [(9000, texts[0])] * 2 and got[2][0] == 9003 and len(got) == 3
     assert mojibake.repaired(df.where("false")).count() == 0
+
+
+def test_all_pairs_are_counted(spark):
+    rng = random.Random(3)
+    texts = ["".join(chr(0x4E00 + rng.randrange(600)) for _ in range(2000)) for _ in range(500)]
+    want = Counter(p for t in texts for p in map(str.__add__, t, t[1:]))
+    want = {p: n for p, n in want.items() if n > 1}
+    df = spark.createDataFrame([(t,) for t in texts], "value string")
+    words, single = mojibake.word_counts(df, charstats.commonness(df)), Counter("".join(texts))
+    assert len(want) > 220_000 and sum(len(seconds) for seconds, _ in words.following.values()) == len(want) + sum(n > 1 for n in Counter(t[-1] for t in texts).values())
+    assert all(abs(words.step(p[0], p[1]) - math.log(n / single[p[0]])) < 1e-5 for p, n in want.items())
