@@ -38,11 +38,8 @@ LOST, FOREIGN = -1, -2
 #: Log probability of a character that no sound text holds; costs of entering and leaving a garbled stretch.
 UNSEEN, ENTER, LEAVE = -16.0, -6.0, -2.0
 #: Least number of different characters decoded and least gain over the text as it stands: for UTF-8, whose bytes
-#: seldom fit by chance, and (False) for the other encodings.
-SURE = {True: (2, 10.0), False: (4, 30.0)}
-_BEAM, _FITTING = 8, 24
-
-
+#: seldom fit by chance, and (False) for the other encodings, as which any few half-width letters can be read.
+SURE = {True: (1, 10.0), False: (4, 30.0)}
 #: First code points of alphabets (and Hangul); letters of words in them may be foreign rather than garbled.
 _ALPHABETS = (0x41, 0x250, 0x370, 0x400, 0x530, 0x590, 0x600, 0x900, 0x980, 0xE00, 0xE80, 0x1E00, 0x1F00, 0x2000, 0xAC00, 0xD7A4)
 
@@ -99,7 +96,7 @@ class Words:
         table = self._fitting.get(encoding)
         if table is None:
             table = {}
-            for c in sorted(self.single, key=self.single.get, reverse=True)[:6000]:
+            for c in sorted(self.single, key=self.single.get, reverse=True):
                 try:
                     raw = c.encode(encoding)
                 except UnicodeEncodeError:
@@ -109,9 +106,7 @@ class Words:
                 for mask in range(1, 1 << len(raw)):
                     if mask.bit_count() < len(raw):
                         key = tuple(LOST if mask >> i & 1 else b for i, b in enumerate(raw))
-                        own = table.setdefault(key, [])
-                        if len(own) < _FITTING:
-                            own.append(c)
+                        table.setdefault(key, []).append(c)
             self._fitting[encoding] = table
         return table.get(pattern, [])
 
@@ -161,9 +156,6 @@ def decode(text: str, read_as: str, really: str, words: Words) -> tuple[str, flo
         states = best[at]
         if not states:
             continue
-        if len(states) > _BEAM:
-            states = dict(sorted(states.items(), key=lambda s: -s[1][0])[:_BEAM])
-            best[at] = states
         arcs: list[tuple[int, str, bool | None, float]] = []
         if at in starts:
             char, length = starts[at]
@@ -232,7 +224,7 @@ def _promise(text: str, read_as: str, really: str, words: Words) -> float:
                 good += 1
             else:
                 bad += 1
-    return good - bad / 4 if good >= 3 else 0.0
+    return good - bad / 4 if good >= (1 if really == "utf-8" else 3) else 0.0
 
 
 _PEELED = re.compile("[\x20-\x7e]*(?:[\x80-\u024f\u02c6\u02dc\u2013-\u203a\u20ac\u2122][\x20-\x7e]*){4,}")
@@ -278,16 +270,14 @@ def restore(text: str, common: charstats.Commonness, words: Words, channels: Seq
         places = [current.index(rare[0]), current.rindex(rare[-1]) + 1]
         span = current[places[0] : places[1]]
         visible = [c for c in span if not c.isascii() and c != "\ufffd"]
-        ranked = []
+        promising = []
         for read_as, really in channels:
             if sum(char_bytes(c, read_as) is None for c in visible) * 4 > len(visible):
                 continue
-            promise = _promise(span, read_as, really, words)
-            if promise > 0:
-                ranked.append((promise, read_as, really))
-        ranked.sort(key=lambda r: -r[0])
+            if _promise(span, read_as, really, words) > 0:
+                promising.append((read_as, really))
         stands, won = words.score(current), None
-        for _, read_as, really in ranked[:3]:
+        for read_as, really in promising:
             candidate, score, decoded = decode(current, read_as, really, words)
             least, margin = SURE[really == "utf-8"]
             if decoded >= least and score > stands + margin and (won is None or score > won[1]):

@@ -204,3 +204,15 @@ def test_all_pairs_are_counted(spark):
     words, single = mojibake.word_counts(df, charstats.commonness(df)), Counter("".join(texts))
     assert len(want) > 220_000 and sum(len(seconds) for seconds, _ in words.following.values()) == len(want) + sum(n > 1 for n in Counter(t[-1] for t in texts).values())
     assert all(abs(words.step(p[0], p[1]) - math.log(n / single[p[0]])) < 1e-5 for p, n in want.items())
+
+
+def test_search_leaves_nothing_out():
+    block = [chr(c) for c in range(0x5300, 0x5340)]  # all share two UTF-8 bytes
+    single = {c: 1000 - i for i, c in enumerate(block)} | {"甲": 500, "乙": 500, "\n": 5000}
+    last = block[-1]  # the least frequent of 64, told by its neighbours
+    words = mojibake.Words(single, [("甲", last, [400]), (last, "乙", [400]), ("\n", "甲", [400]), ("乙", "\n", [400])])
+    assert len(words.fitting("utf-8", (*last.encode()[:2], mojibake.LOST))) == 64
+    bad = "甲".encode().decode("latin-1") + last.encode()[:2].decode("latin-1") + "�" + "乙".encode().decode("latin-1")
+    assert mojibake.decode(bad, "latin-1", "utf-8", words)[0] == f"甲{last}乙"
+    common = charstats.Commonness(dict.fromkeys(single, 1000), 1000)
+    assert mojibake.restore("甲".encode().decode("latin-1"), common, words)[:2] == (True, "甲")  # one character is enough
