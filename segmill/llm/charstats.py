@@ -17,9 +17,9 @@ BROKEN = re.compile("[\x80-\x9f-�]")
 
 
 def document_frequencies(values: DataFrame) -> tuple[dict[str, int], int]:
-    """``(character -> texts that hold it, number of texts)`` over all non-NULL ``value``\\ s.
+    """``(character -> texts that hold it, number of texts)`` over all distinct non-NULL ``value``\\ s.
 
-    Every task counts its own texts and sends one row per character; a driver-side table of characters is
+    Copies count once, however many rows hold them; they are one row per task before texts move. Every task then counts its own texts and sends one row per character; a driver-side table of characters is
     bounded by Unicode's repertoire.
     """
 
@@ -31,7 +31,7 @@ def document_frequencies(values: DataFrame) -> tuple[dict[str, int], int]:
             held.update("".join("".join(set(t)) for t in texts))
         yield pa.RecordBatch.from_arrays([pa.array([*held], pa.string()), pa.array([*held.values()], pa.int64())], names=["c", "n"])
 
-    rows = values.select("value").where("value IS NOT NULL").mapInArrow(count, "c string, n long").groupBy("c").agg(F.sum("n").alias("n")).collect()
+    rows = values.select("value").where("value IS NOT NULL").distinct().mapInArrow(count, "c string, n long").groupBy("c").agg(F.sum("n").alias("n")).collect()
     table = {r.c: r.n for r in rows}
     total = table.pop("", 0)
     return table, total

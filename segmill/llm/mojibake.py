@@ -4,8 +4,8 @@ A garbled text was encoded in one encoding and read in another. The channel is u
 the bytes of the text in the encoding it was read in: arcs decode one character of the true encoding, or
 keep the character as it stands; lost bytes (U+FFFD) are wildcards that match every character with fitting
 bytes. Viterbi search finds the best path under the corpus frequencies of words. As neither Japanese nor
-Chinese separates words, words are characters and pairs of neighbouring ones, counted over all texts that
-hold no unusual characters.
+Chinese separates words, words are characters and pairs of neighbouring ones, counted over all distinct
+texts that hold no unusual characters and no run of UTF-8 bytes.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ CHANNELS = (
     ("latin-1", "gbk"), ("cp1252", "gbk"), ("mac-roman", "gbk"), ("koi8-r", "gbk"), ("cp437", "gbk"), ("cp932", "gbk"), ("euc-jp", "gbk"), ("big5hkscs", "gbk"), ("cp949", "gbk"),
     ("latin-1", "big5"), ("cp1252", "big5"), ("gb18030", "big5"), ("cp932", "big5"),
 )
+_READ_AS_UTF8 = tuple(read_as for read_as, really in CHANNELS if really == "utf-8")
 _LENGTHS = {"utf-8": (2, 3, 4), "cp932": (2, 1), "euc-jp": (2, 3), "gbk": (2,), "big5": (2,)}
 LOST, FOREIGN = -1, -2
 #: Log probability of a character that no sound text holds; costs of entering and leaving a garbled stretch.
@@ -251,6 +252,30 @@ def peel(text: str) -> str | None:
     return out if changed else None
 
 
+#: Three characters of UTF-8 in a row, ideographs or kana: by chance hardly ever in the bytes of another encoding.
+_UTF8_RUN = re.compile(b"(?:[\xe3-\xe9][\x80-\xbf]{2}){3,}")
+
+
+#: A run of UTF-8 read byte by byte has nine characters outside ASCII, kana and ideographs; without one, encodings of several bytes are left.
+_OTHER_RUN = re.compile("[^\x00-\x7f\u3000-\u9fff\uff00-\uffef]{9}")
+_WIDE = tuple(e for e in _READ_AS_UTF8 if e in ("cp932", "gb18030", "big5hkscs", "euc-jp", "cp949"))
+
+
+def hidden_utf8(text: str, share: float = 0.0) -> bool:
+    """Whether the bytes of the text in an encoding it may have been read in hold a run of UTF-8, however common its characters are.
+
+    With ``share`` the runs must be such a part of the bytes, which long sound texts don't reach by chance.
+    """
+    if text.isascii():
+        return False
+    for read_as in _READ_AS_UTF8 if _OTHER_RUN.search(text) else _WIDE:
+        raw = text.encode(read_as, "replace")
+        held = sum(len(m.group()) for m in _UTF8_RUN.finditer(raw))
+        if held and held >= share * len(raw):
+            return True
+    return False
+
+
 def restore(text: str, common: charstats.Commonness, words: Words, channels: Sequence[tuple[str, str]] = CHANNELS, rounds: int = 2) -> tuple[bool, str | None, str | None]:
     """``(garbled, restored text or None, channel)`` of one suspicious text.
 
@@ -265,6 +290,8 @@ def restore(text: str, common: charstats.Commonness, words: Words, channels: Seq
             return True, fixed, f"{how} then utf-8 read as cp1252"
     for _ in range(rounds):
         rare = common.rare(current)
+        if len(rare) < 3 and hidden_utf8(current):
+            rare = [c for c in current if not c.isascii()]  # common characters that are garbled all the same
         if not rare:
             break
         places = [current.index(rare[0]), current.rindex(rare[-1]) + 1]
@@ -304,7 +331,7 @@ def word_counts(values: DataFrame, common: charstats.Commonness) -> Words:
         held: Counter[str] = Counter()
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                if t and not shared.value.suspicious(t, 1):
+                if t and not shared.value.suspicious(t, 1) and not hidden_utf8(t, 0.1):
                     held.update(t)
                     held.update(map(str.__add__, "\n" + t, t + "\n"))
             if len(held) > 2_000_000:
@@ -312,7 +339,7 @@ def word_counts(values: DataFrame, common: charstats.Commonness) -> Words:
                 held.clear()
         yield _counts(held)
 
-    counted = values.select("value").where("value IS NOT NULL").mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    counted = values.select("value").where("value IS NOT NULL").distinct().mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
     counted = counted.where("length(w) = 1 OR n > 1")
     by_first = counted.groupBy(F.substring("w", 1, 1).alias("c")).agg(
         F.max(F.when(F.length("w") == 1, F.col("n"))).alias("n"), F.sort_array(F.collect_list(F.when(F.length("w") == 2, F.struct("n", F.substring("w", 2, 1).alias("c")))), False).alias("after")
@@ -335,8 +362,8 @@ def repaired(values: DataFrame) -> DataFrame:
 
     ``values`` is ``(field_name, id, value)``. ``restored`` is NULL where the original can't be had. Three
     passes over all texts: characters' document frequencies, word frequencies, then the search, which runs
-    only for texts with unusual characters. NULL, empty and ASCII texts are never garbled; every repeated
-    row is judged; a whole text is searched however long it is. No shuffle of texts.
+    only for texts with unusual characters or a run of UTF-8 bytes. NULL, empty and ASCII texts are never garbled; every repeated
+    row is judged; a whole text is searched however long it is. Texts move once a task and distinct text, to be counted without copies.
     """
     spark = values.sparkSession
     common = charstats.commonness(values)
@@ -349,7 +376,7 @@ def repaired(values: DataFrame) -> DataFrame:
             common, words = model.value
             keep, restored, channel = [], [], []
             for k, text in enumerate(batch.column("value").to_pylist()):
-                if not text or not common.suspicious(text):
+                if not text or not (common.suspicious(text) or hidden_utf8(text)):
                     continue
                 if text not in seen:
                     if len(seen) > 50_000:

@@ -216,3 +216,15 @@ def test_search_leaves_nothing_out():
     assert mojibake.decode(bad, "latin-1", "utf-8", words)[0] == f"甲{last}乙"
     common = charstats.Commonness(dict.fromkeys(single, 1000), 1000)
     assert mojibake.restore("甲".encode().decode("latin-1"), common, words)[:2] == (True, "甲")  # one character is enough
+
+
+@pytest.mark.parametrize("read_as", ["latin-1", "gb18030"])
+def test_common_garbled_texts_are_searched(spark, read_as):
+    texts = sorted(set(corpus()))
+    bad = {t[:k].encode().decode(read_as, "replace") for t in texts for k in (6, 8, 10, 12)}
+    bad = [b for b in sorted(bad) if "�" not in b][:120]  # no broken characters where two bytes are read as one
+    copied = texts[0].encode().decode("koi8-r")  # one line, copied into many rows
+    rows = [*enumerate(texts), *((10_000 + i, b) for i, b in enumerate(bad)), *((20_000 + i, copied) for i in range(200))]
+    df = spark.createDataFrame([("f", i, t) for i, t in rows], "field_name string, id long, value string")
+    got = {r.id for r in mojibake.repaired(df).collect()}
+    assert got == {i for i, _ in rows if i >= 10_000} and len(bad) >= 10
