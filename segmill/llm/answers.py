@@ -36,6 +36,32 @@ _ABOUT = re.compile(
 )
 
 
+#: Frequent function words of languages other than Chinese (fixed values).
+_LANGUAGES = {
+    "en": "the a of to and in is was it for on with that this we you they did do not he she him her before after nobody",
+    "fr": "le la les un une des du de et est était dans pour que qui nous vous ne pas avant depuis personne",
+    "de": "der die das ein eine und ist war nicht mit für auf von zu wir sie er ich vor nach",
+    "es": "el la los las un una de y es era en para que no con nosotros ellos antes desde nadie",
+    "ru": "и в не на я он она мы они что это у же с по где никто был была минут",
+    "vi": "không ai biết là của và có trong ở đã chúng tôi này số cho một người",
+    "ko": "그 이 저 에 의 를 을 은 는 안에 대해 않았다 있었다 아무도 앞에서",
+}
+_WORD_LANGUAGES: dict[str, list[str]] = {}
+for _language, _words in _LANGUAGES.items():
+    for _word in _words.split():
+        _WORD_LANGUAGES.setdefault(_word, []).append(_language)
+
+
+def language_of(text: str) -> tuple[str | None, int]:
+    """``(language, different words of it)``: the one whose dictionary holds most words of the text; None for none."""
+    hits: dict[str, int] = {}
+    for word in {w.lower() for w in _WORDS.findall(CONTROL.sub(" ", text))}:
+        for language in _WORD_LANGUAGES.get(word, ()):
+            hits[language] = hits.get(language, 0) + 1
+    best = max(hits, key=lambda k: (hits[k], k), default=None)
+    return best, hits.get(best, 0)
+
+
 def bare(text: str) -> str:
     """The text without control tokens, white space and characters without ink."""
     return EMPTY.sub("", CONTROL.sub("", text))
@@ -49,26 +75,39 @@ def letters_only(text: str) -> str:
     return _SIGNS.sub("", bare(text))
 
 
+#: Bytes that a message has at least when its cost is measured, so that a short text isn't lost in the frame's own bytes.
+MEASURED = 64
+#: Greatest cost of a copy, as a share of the answer's bytes: a few words put in, left out or exchanged.
+COPIED = 0.4
+
+
 def copy_ratio(source: str, target: str) -> float:
-    """Bytes that the target costs with the source as zstandard dictionary, over its own bytes."""
+    """What the target costs beyond the source itself with the source as zstandard dictionary, over its bytes.
+
+    Both are written as often as makes the dictionary and the message long enough to be compressed at all
+    (repetitions cost next to nothing), and the source's own cost under its dictionary, that of an exact copy,
+    is taken off. Thus an exact copy has 0 and an unrelated text about 1, however short they are.
+    """
     raw, prompt = target.encode("utf-8", "surrogatepass"), source.encode("utf-8", "surrogatepass")
-    if len(prompt) < 8 or not raw:
-        return 0.0 if raw and raw in prompt else 1.0
-    compressor = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(prompt, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
-    return max(0, len(compressor.compress(raw)) - 9) / len(raw)
+    if not raw or not prompt:
+        return 1.0
+    times = max(1, -(-MEASURED // min(len(raw), len(prompt))))
+    held = zstandard.ZstdCompressionDict(prompt * times, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    compressor = zstandard.ZstdCompressor(dict_data=held, compression_params=_COMPRESSION)
+    return max(0, len(compressor.compress(raw * times)) - len(compressor.compress(prompt * times))) / len(raw)
+
+
+_COMPRESSION = zstandard.ZstdCompressionParameters.from_level(1, write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
 
 
 def is_copy(source: str, target: str) -> bool:
-    """Whether the target gives the source back, perhaps spaced, punctuated or labelled otherwise."""
+    """Whether the target gives the source back, perhaps spaced, punctuated or labelled otherwise, or with small edits."""
     a = letters_only(source)
-    if not a:
-        return False
-    for text in (target, _LABEL.sub("", target)):
-        b = letters_only(text)
-        if a == b:
-            return True
-    b = letters_only(_LABEL.sub("", target))
-    return len(b) >= 4 and 0.6 <= len(b) / len(a) <= 1.7 and copy_ratio(a, b) <= 0.35
+    return bool(a) and any(copy_ratio(a, b) <= COPIED for b in dict.fromkeys((letters_only(target), letters_only(_LABEL.sub("", target)))))
+
+
+#: Share of foreign letters from which two different words of a language's dictionary make the answer one in that language.
+FOREIGN_WORDS = 0.3
 
 
 def foreign_share(target: str, source: str) -> float:
@@ -122,12 +161,12 @@ def defect(source: str | None, target: str | None, common: Commonness) -> str |
     same = letters_only(source) == letters_only(target) or bare(source) == bare(target)
     if same and not _CJK.search(source):
         return None
-    letters = len(letters_only(target))
+    # what gives Japanese back holds kana, unless the source has none
+    if kana and is_copy(source, target):
+        return "copied"
     if kana:
-        if is_copy(source, target):
-            return "copied"
-        if kana >= 3 and kana >= 0.2 * letters:
-            return "other_language"
-    elif not same and foreign_share(target, source) > 0.5 and len(letters_only(_BRACKETED_END.sub("", target))) >= 5:
-        return "other_language"
-    return None
+        return "other_language" if kana >= 3 and kana >= 0.2 * len(letters_only(target)) else None
+    if same or len(letters_only(_BRACKETED_END.sub("", target))) < 5:
+        return None
+    share = foreign_share(target, source)
+    return "other_language" if share > 0.5 or (share > FOREIGN_WORDS and language_of(target)[1] >= 2) else None

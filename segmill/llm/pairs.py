@@ -46,7 +46,7 @@ def defective(pairs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("id").take(keep), pa.array(found, pa.string()).take(keep)], names=["id", "defect"])
 
     alone = pairs.select("id", "source", "target").mapInArrow(label, "id long, defect string")
-    cut = truncation.judged(values, {"current.target": "answer"}).select("id", F.lit("truncated").alias("defect"))
+    cut = truncation.judged(values, {"current.target": "answer"}, common=common).select("id", F.lit("truncated").alias("defect"))
     copies = kana_less_copies(pairs).select("id", F.lit("copied").alias("defect"))
     # the parts are disjoint but for copies, which may also lack an end mark
     return alone.unionByName(copies).unionByName(cut.join(copies.select("id"), "id", "left_anti"))
