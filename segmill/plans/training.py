@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from segmill.operators import delimited, reconcile
 from segmill.session import BLANK, table
+from segmill.sources import catalog
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +25,15 @@ def p1_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every file's records as physical lines, in order of delivery, assembled again: where each begins, and why it fails."""
+    raw = table(spark, sf_dir, "review_raw").select("file_name", "record_no", "raw_id", F.posexplode(F.split("raw_record", "\n")).alias("at", "line"))
+    numbered = catalog.dense(raw, ["file_name", "record_no", "raw_id", "at"], "line_no")
+    records = delimited.assembled(numbered)
+    judged = delimited.load_records(records, "record", keep=("file_name", "first_line", "last_line", "closed"))
+    return judged.select("file_name", "first_line", "last_line", F.when(~F.col("closed"), "quoting").otherwise(F.col("reject_reason")).alias("reason"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.differences(table(spark, sf_dir, "seg_current"), table(spark, sf_dir, "seg_previous"))
 
@@ -32,7 +42,7 @@ def p3_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_found(spark, sf_dir).groupBy("diff").agg(F.count("*").alias("segments"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_loaded": p1_loaded, "p1_reasons": p1_reasons, "p3_found": p3_found, "p3_totals": p3_totals}
+QUERIES = {"p1_found": p1_found, "p1_loaded": p1_loaded, "p1_reasons": p1_reasons, "p1_lines": p1_lines, "p3_found": p3_found, "p3_totals": p3_totals}
 
 _FIELD = r'("([^"]|"")*"|[^",\r\n]*)'
 _SPLIT = f"""
@@ -54,6 +64,13 @@ judged AS (
     WHEN regexp_matches(f[11], '[\\x00-\\x09\\x0b-\\x1f\\x7f-\\x{{9f}}\\x{{fffd}}]') THEN 'bad_reviewed_target' END AS reason
   FROM split)
 """
+_LINES = """
+WITH l0 AS (SELECT file_name, record_no, raw_id, unnest(string_split(raw_record, chr(10))) AS line, generate_subscripts(string_split(raw_record, chr(10)), 1) AS place FROM review_raw),
+l AS (SELECT file_name, row_number() OVER (ORDER BY file_name, record_no, raw_id, place) - 1 AS line_no, line, length(line) - length(replace(line, '"', '')) AS q FROM l0),
+b AS (SELECT *, coalesce(sum(q) OVER (PARTITION BY file_name ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 0 AS begins, sum(q) OVER (PARTITION BY file_name) % 2 = 1 AS odd FROM l),
+g AS (SELECT *, max(line_no) FILTER (WHERE begins) OVER (PARTITION BY file_name ORDER BY line_no) AS head, max(line_no) FILTER (WHERE begins) OVER (PARTITION BY file_name) AS final FROM b),
+r AS (SELECT file_name, CASE WHEN odd AND head = final THEN line_no ELSE head END AS first_line, max(line_no) AS last_line, bool_and(NOT (odd AND head = final)) AS closed, string_agg(line, chr(10) ORDER BY line_no) AS raw_record FROM g GROUP BY 1, 2),
+review_raw AS (SELECT * FROM r), """
 _LOADED = ", ".join(f"f[{i}] AS {c}" for i, c in enumerate(delimited.REVIEW_COLUMNS, 1))
 
 _STRIP = "".join(f"\\x{{{ord(c):x}}}" for c in BLANK)
@@ -74,6 +91,7 @@ ORACLES = {
     "p1_found": _SPLIT + "SELECT raw_id, reason FROM judged WHERE reason IS NOT NULL",
     "p1_loaded": _SPLIT + f"SELECT raw_id, {_LOADED} FROM judged WHERE reason IS NULL",
     "p1_reasons": _SPLIT + "SELECT file_name, count(*) AS records, count(reason) AS rejected, count(*) FILTER (WHERE reason = 'quoting') AS quoting FROM judged GROUP BY file_name",
+    "p1_lines": _LINES + _SPLIT.replace("WITH shaped", "shaped", 1).replace("raw_id, file_name,", "file_name, first_line, last_line, closed,") + "SELECT file_name, first_line, last_line, CASE WHEN NOT closed THEN 'quoting' ELSE reason END AS reason FROM judged",
     "p3_found": _DIFF + "SELECT segment_id, diff FROM found",
     "p3_totals": _DIFF + "SELECT diff, count(*) AS segments FROM found GROUP BY diff",
 }

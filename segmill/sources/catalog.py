@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from segmill.functions import text as X
 from segmill.operators.qa import Glossary
-from segmill.session import small_table
+from segmill.session import checkpointed, small_table
+from segmill.sources import lines
 
 #: Keys of a JSON object that may hold its records, in order of preference (fixed value).
 RECORD_KEYS = ("records", "items", "data", "translations")
@@ -19,18 +20,20 @@ RECORD_KEYS = ("records", "items", "data", "translations")
 def dense(df: DataFrame, order: Sequence[str], name: str = "row_idx") -> DataFrame:
     """The rows numbered from 0 without gaps in the given order, without sorting them into one partition.
 
-    Rows are ranged over tasks; each task's numbers start where the ones before end. The counts per task
-    are the only thing collected.
+    Rows are ranged over tasks and written once with their task and place: range bounds are sampled, so another
+    evaluation could place rows otherwise. Counts and numbers both come from what was written; each task's
+    numbers start where the ones before end, and the counts per task are the only thing collected. Empty
+    tables give empty ones.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    place = F.monotonically_increasing_id()
+    ranged = checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"__part": F.spark_partition_id(), "__at": place.bitwiseAND((1 << 33) - 1)}))
     counts = {r["__part"]: r["n"] for r in ranged.groupBy("__part").agg(F.count("*").alias("n")).collect()}
     starts, total = [], 0
-    for part in sorted(counts):
-        starts += [F.lit(part), F.lit(total).cast("long")]
-        total += counts[part]
-    if not starts:
-        return df.withColumn(name, F.lit(None).cast("long"))
-    return ranged.withColumn(name, F.create_map(*starts)[F.col("__part")] + F.col("__at")).drop("__part", "__at")
+    for part in range(max(counts, default=-1) + 1):
+        starts.append(total)
+        total += counts.get(part, 0)
+    offset = F.get(F.lit(starts or [0]).cast("array<long>"), F.col("__part"))
+    return ranged.withColumn(name, offset + F.col("__at")).drop("__part", "__at")
 
 
 def _fail(condition, message):
@@ -42,13 +45,12 @@ def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
 
     A byte order mark and blank lines are skipped; ``row_idx`` counts the records from 0, ``line_no`` the
     physical lines from 1; any other line that isn't an object fails the query. ``raw`` is the object's
-    text, so unknown keys, their types and absent keys stay as they are.
+    text, so unknown keys, their types and absent keys stay as they are. A large file is read in splits, by lines.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^\\ufeff", "").alias("t"))
-    each = whole.select(F.posexplode(F.split("t", "\\r?\\n|\\r")).alias("at", "raw")).where(~X.is_blank(F.col("raw")))
-    odd = ~F.coalesce(F.trim("raw").startswith("{") & F.try_parse_json("raw").isNotNull(), F.lit(False))
-    own = each.select((F.col("at") + 1).alias("line_no"), F.coalesce(_fail(odd, F.concat(F.lit("not a JSON object in line "), F.col("at") + 1)), F.col("raw")).alias("raw"))
-    return dense(own, ["line_no"])
+    own = lines.numbered(spark, path, keep=lambda line: ~X.is_blank(line))
+    odd = ~F.coalesce(F.trim("line").startswith("{") & F.try_parse_json("line").isNotNull(), F.lit(False))
+    raw = F.coalesce(_fail(odd, F.concat(F.lit("not a JSON object in line "), F.col("line_no"))), F.col("line"))
+    return own.select("line_no", raw.alias("raw"), F.col("kept_idx").alias("row_idx"))
 
 
 def read_json(spark: SparkSession, path: str, allow_map: bool = True) -> DataFrame:
@@ -56,7 +58,7 @@ def read_json(spark: SparkSession, path: str, allow_map: bool = True) -> DataFra
 
     The root is a list, or an object with a list under the first of :data:`RECORD_KEYS` it has one under;
     ``allow_map`` also takes an object of objects, whose keys become ``record_key``. Members that aren't
-    objects are left out; every other root fails.
+    objects are left out; every other root fails. One document is one value, so a file is one task and at most 2 GB.
     """
     text = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^\\ufeff", "").alias("t"))
     found = F.from_json("t", "map<string,string>", {"allowUnquotedFieldNames": "false"})

@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 
 CHECKED = (
-    "p1_found", "p1_loaded", "p3_found", "tokens_compared", "text_measures", "qa_findings", "qa_gate", "qa_inconsistent", "memory_decisions", "memory_summary", "review_judged", "review_summary",
+    "p1_found", "p1_loaded", "p1_lines", "p3_found", "tokens_compared", "text_measures", "qa_findings", "qa_gate", "qa_inconsistent", "memory_decisions", "memory_summary", "review_judged", "review_summary",
     "audit_signals", "audit_categories", "script_extract", "slots_scan", "images_compared", "manifest_states", "tree_differences", "regenerated", "progress", "collisions",
 )
 
