@@ -111,14 +111,24 @@ def test_circulant_signatures_estimate_jaccard():
     assert shingles.shared_counts([a], [b])[0] == len(A & B)
 
 
+def best_fit_bins(sizes, capacity):
+    """Number of bins by best fit decreasing."""
+    rests = []
+    for size in sorted(map(int, sizes), reverse=True):
+        k = min((r, i) for i, r in enumerate(rests) if r >= size)[1] if any(r >= size for r in rests) else len(rests)
+        if k == len(rests):
+            rests.append(capacity)
+        rests[k] -= size
+    return len(rests)
+
+
 def test_packing(spark):
     rng = np.random.default_rng(2)
     for capacity in (10, 100, 512):
         sizes = rng.integers(0, capacity + 1, 700)
-        first = packing.best_fit(sizes, capacity)
         bins = packing.pack(sizes, capacity)
         fill = np.bincount(bins, weights=sizes)
-        assert fill.max() <= capacity and len(fill) <= first.max() + 1 and len(fill) <= 1.05 * np.ceil(sizes.sum() / capacity) + 1
+        assert fill.max() <= capacity and len(fill) <= best_fit_bins(sizes, capacity) and len(fill) <= 1.05 * np.ceil(sizes.sum() / capacity) + 1
     tight = np.array([6, 6, 6, 4, 4, 4] * 20 + [5] * 40)
     assert len(np.unique(packing.pack(tight, 10))) == 80
 
@@ -129,6 +139,22 @@ def test_search_empties_a_bin():
     assert len(np.unique(out)) == 2 and np.bincount(out, weights=sizes).max() <= 10
 
 
+def test_search_decides(spark):
+    """The search starts from a packing with a tenth more containers, and ends where no step gains."""
+    rng = np.random.default_rng(4)
+    for capacity, top in ((512, 400), (2048, 900), (64, 40)):
+        sizes = rng.integers(0, top, 3000)
+        start = packing.next_fit(sizes, capacity)
+        out = packing.improve(sizes, start, capacity)
+        fill = np.bincount(out, weights=sizes)
+        least = -(-sizes.sum() // capacity)
+        assert fill.max() <= capacity and least <= (fill > 0).sum() <= best_fit_bins(sizes, capacity) < 0.95 * (start.max() + 1)
+        assert (packing.improve(sizes, out, capacity) == out).all()
+    tiny = packing.pack(np.ones(20_000, int), 8192)
+    assert np.bincount(tiny).tolist() == [8192, 8192, 3616] or len(np.unique(tiny)) == 3
+    assert packing.pack(np.zeros(5, int), 8).tolist() == [0] * 5 and packing.pack(np.array([5, 0, 5, 0, 3]), 8).max() == 1
+
+
 DOCS = "doc_id long, text string, source string, size string"
 
 
@@ -175,6 +201,30 @@ def test_containers(spark):
     assert packing.assign(df.where("false"), specs).count() == 0
 
 
+def test_shares_are_met(spark):
+    """Shares within a thousandth, caps kept, and the same selection where lengths are cut into parts."""
+    rng = np.random.default_rng(5)
+    rows = [(i, s, int(max(1, rng.lognormal(5, 1.2)))) for i, s in enumerate(rng.choice(["a", "b", "c", "d"], 9000, p=[0.7, 0.2, 0.06, 0.04]).tolist())]
+    rows += [(20_000 + i, "a", 40) for i in range(4000)]  # one length of a third of all documents
+    counts = spark.createDataFrame(rows, "doc_id long, source string, tokens long").repartition(4).persist()
+    targets = {"a": mixing.Target(0.3, 1), "b": mixing.Target(0.3, 2), "c": mixing.Target(0.25, 4), "d": mixing.Target(0.15, 3)}
+    for piece in (50_000, 100):
+        mixing.PIECE, kept = piece, mixing.PIECE
+        try:
+            chosen = mixing.select(counts, targets).collect()
+        finally:
+            mixing.PIECE = kept
+        got = defaultdict(int)
+        for r in chosen:
+            got[r.source] += r.tokens * r.copies
+            assert 1 <= r.copies <= targets[r.source].repeats
+        total = sum(got.values())
+        assert all(abs(got[s] / total - t.share) < 0.001 for s, t in targets.items()) and len({r.doc_id for r in chosen}) == len(chosen)
+    with pytest.raises(RuntimeError):
+        mixing.solve(np.array([1, 2]), np.array([5, 5]), 3.0, 1.0, 0.5, 1.0, steps=1)
+    assert mixing.solve(np.array([1, 2]), np.array([5, 5]), 15.0, 1.0, 0.5, 1.0) == float("inf")
+
+
 def test_mixing(spark):
     targets = {"a": mixing.Target(0.5, 1), "b": mixing.Target(0.3, 3), "c": mixing.Target(0.2, 2), "none": mixing.Target(0.5, 2)}
     counts = mixing.token_table(docs(spark, 3000))
