@@ -15,46 +15,116 @@ from pyspark.sql import functions as F
 from segmill.functions import codecs, paths
 from segmill.functions import text as T
 
-# First bytes of known containers, as hexadecimal digits.
-MAGIC = {
-    "xp3": "5850330D0A", "nsa-sar": "0000", "png": "89504E47", "jpeg": "FFD8FF", "gif": "47494638", "bmp": "424D", "ogg": "4F676753", "riff": "52494646",
-    "zip": "504B0304", "rar": "52617221", "7z": "377ABCAF271C", "exe": "4D5A", "cpk": "43504B20",
-}
+# Signatures of archives and scripts, and the format each speaks for. Those in ASCII stand at the
+# file's beginning, but for the two that are found anywhere in an executable.
+MAGIC = (
+    (b"XP3\r\n \n\x1a", "KiriKiri"),
+    (b"YPF\x00", "Yu-Ris"),
+    (b"FilePackVer3.0", "QLIE"),
+    (b"PackFile", "QLIE"),
+    (b"ESC-ARC1", "Escude"),
+    (b"ESC-ARC2", "Escude"),
+    (b"BurikoCompiledScriptVer1.00", "BGI/Ethornell"),
+    (b"BURIKO", "BGI/Ethornell"),
+    (b"MajiroArcV1.000", "Majiro"),
+    (b"MajiroArcV2.000", "Majiro"),
+    (b"MajiroArcV3.000", "Majiro"),
+    (b"KIF", "CatSystem2"),
+    (b"CatScene", "CatSystem2"),
+    (b"GAMEDAT PAC", "Softpal"),
+    (b"PACK", "Softpal"),
+    (b"pf6", "Artemis"),
+    (b"pf8", "Artemis"),
+    (b"RGSSAD", "RPG Maker"),
+    (b"DX", "Wolf RPG Editor"),
+)
+# Other containers, for files that hold none of these.
+OTHERS = ((b"PK\x03\x04", "zip"), (b"MZ", "exe"), (b"Rar!", "rar"), (b"7z\xbc\xaf\x27\x1c", "7z"), (b"OggS", "ogg"), (b"RIFF", "riff"), (b"\x89PNG", "png"), (b"\xff\xd8\xff", "jpeg"), (b"GIF8", "gif"), (b"BM", "bmp"), (b"CPK ", "cpk"))
+EXECUTABLE, INSIDE = b"MZ", ((b"LIVEMAKER", "LiveMaker"), (b"LiveMaker", "LiveMaker"))
+#: A format known by two file names of one folder rather than by bytes.
+NAME_PAIR = (("scene.pck", "gameexe.dat"), "SiglusEngine")
 
 
 def magic_kind(content: Column) -> Column:
-    """Kind of a file by its first bytes, the longest signature first; NULL for none."""
-    head = F.hex(F.substring(content, 1, 8))
-    chosen = F.lit(None).cast("string")
-    for name, digits in sorted(MAGIC.items(), key=lambda x: len(x[1])):
-        chosen = F.when(head.startswith(digits), F.lit(name)).otherwise(chosen)
-    return chosen
+    """Format of a file by its first bytes, the longest signature first; of an executable by what it holds; NULL for none.
 
+    ``DX`` alone is too short to tell: it also needs a version byte below 32.
+    """
+    head = F.substring(content, 1, max(len(m) for m, _ in MAGIC))
+    chosen = F.lit(None).cast("string")
+    for magic, kind in sorted((*OTHERS, *MAGIC), key=lambda x: len(x[0])):
+        begins = F.startswith(head, F.lit(bytearray(magic)))
+        if magic == b"DX":
+            begins &= F.coalesce(F.conv(F.hex(F.substring(content, 3, 1)), 16, 10).cast("int") < 32, F.lit(False))
+        chosen = F.when(begins, F.lit(kind)).otherwise(chosen)
+    holds = F.lit(False)
+    for magic, _ in INSIDE:
+        holds |= F.contains(content, F.lit(bytearray(magic)))
+    return F.when(F.startswith(head, F.lit(bytearray(EXECUTABLE))) & holds, F.lit(INSIDE[0][1])).otherwise(chosen)
+
+
+def named_pairs(inventory: DataFrame) -> DataFrame:
+    """``(folder, kind)`` of folders that hold both files of :data:`NAME_PAIR`, whatever their case."""
+    names, kind = NAME_PAIR
+    path = F.lower(F.replace("path", F.lit("\\"), F.lit("/")))
+    own = inventory.select(F.regexp_replace(path, "[^/]*$", "").alias("folder"), F.regexp_extract(path, "[^/]*$", 0).alias("name")).where(F.col("name").isin(*names))
+    return own.groupBy("folder").agg(F.count_distinct("name").alias("n")).where(F.col("n") == len(names)).select("folder", F.lit(kind).alias("kind"))
+
+
+def _clean(text: str) -> bool:
+    """No control characters but line breaks and tabs, no private use."""
+    return not any(c < " " and c not in "\n\r\t" or "\x7f" <= c <= "\x9f" or "\ue000" <= c <= "\uf8ff" for c in text)
+
+
+def _blob(text: str) -> bool:
+    """Whether a decoded text is more likely data: one ideograph over and over, half-width noise, pixel-like runs."""
+    n = len(text)
+    if n < 4:
+        return False
+    most = max(map(text.count, set(text)))
+    half = sum("\uff61" <= c <= "\uff9f" for c in text)
+    runs = sum(a == b for a, b in zip(text, text[1:], strict=False))
+    ideographs = sum("\u3400" <= c <= "\u9fff" for c in text)
+    return (most * 2 > n and ideographs * 2 > n) or half * 2 > n or runs * 2 > n
+
+
+def prefixed_strings(content: DataFrame, encoding: str = "cp932", least: int = 1, most: int | None = None) -> DataFrame:
+    """``(path, offset, text)``: length-prefixed strings ``[u32 LE][bytes][00]`` that decode and encode back alike.
+
+    Strings of one byte count too; ``most`` is the file's length unless given. Candidates may overlap, so that zero bytes before
+    a string hide none; what decodes to control or private characters, or to what looks like data, is
+    left out. All offsets are tested at once; only those whose length and terminator fit are decoded.
+    """
 
-def prefixed_strings(content: DataFrame, encoding: str = "cp932", least: int = 2, most: int = 1024) -> DataFrame:
-    """``(path, offset, text)``: length-prefixed strings ``[u32 LE][bytes][00]`` that decode and encode back alike."""
     @F.pandas_udf("array<struct<offset:int,text:string>>")
     def scan(contents: pd.Series) -> pd.Series:
         def one(raw: bytes) -> list[dict]:
-            data, out, at = bytes(raw), [], 0
-            while at + 4 <= len(data):
-                size = int.from_bytes(data[at : at + 4], "little")
-                body = data[at + 4 : at + 4 + size]
-                if least <= size <= most and len(body) == size and data[at + 4 + size : at + 5 + size] == b"\0" and b"\0" not in body:
-                    try:
-                        text = body.decode(encoding)
-                    except UnicodeError:
-                        text = None
-                    if text is not None and text.encode(encoding) == body:
-                        out.append({"offset": at, "text": text})
-                        at += 5 + size
-                        continue
-                at += 1
+            data, out = bytes(raw), []
+            b = np.frombuffer(data, np.uint8)
+            if len(b) < 5 + least:
+                return out
+            size = b[:-4].astype(np.int64) | b[1:-3].astype(np.int64) << 8 | b[2:-2].astype(np.int64) << 16 | b[3:-1].astype(np.int64) << 24
+            at = np.arange(len(size))
+            end = at + 4 + size
+            fits = (size >= least) & (end < len(b)) & (True if most is None else size <= most)
+            at, end = at[fits], end[fits]
+            at, end = at[b[end] == 0], end[b[end] == 0]
+            # no terminator inside: as many zero bytes up to the end as up to the start
+            zeros = np.concatenate(([0], np.cumsum(b == 0)))
+            bare = zeros[end] == zeros[at + 4]
+            for i, j in zip(at[bare].tolist(), end[bare].tolist(), strict=True):
+                body = data[i + 4 : j]
+                try:
+                    text = body.decode(encoding)
+                except UnicodeError:
+                    continue
+                if text.encode(encoding) == body and _clean(text) and not _blob(text):
+                    out.append({"offset": i, "text": text})
             return out
 
         return contents.map(one)
 
-    return content.select("path", F.explode(scan("content")).alias("s")).select("path", "s.*")
+    return content.where("content IS NOT NULL").select("path", F.explode(scan("content")).alias("s")).select("path", "s.*")
 
 
 def completeness(known: DataFrame, found: DataFrame, keys: list[str], source: str = "source") -> DataFrame:
@@ -198,6 +268,32 @@ def fingerprint_matrix(frames: DataFrame, prints: DataFrame) -> DataFrame:
     return own.groupBy("frame", "print").agg((F.count("at") == 0).alias("matches"), F.min("at").alias("first")).select("frame", "print", "matches", F.col("first.byte").alias("first_mismatch"))
 
 
+#: Marks that one code page opens and closes a choice with, around a payload in another one (fixed values).
+WRAPPER = (b"\x81\x79", b"\x81\x7a")
+
+
+def wrapped(content: Column, opens: bytes = WRAPPER[0], closes: bytes = WRAPPER[1], encoding: str = "gbk") -> Column:
+    """Whether bytes are a payload of ``encoding`` between the exact opening and closing pair of another code page.
+
+    The pairs alone say nothing: they are characters of ``encoding`` too. NULL for NULL.
+    """
+    size = F.octet_length(content) - (len(opens) + len(closes))
+    around = F.startswith(content, F.lit(bytearray(opens))) & F.endswith(content, F.lit(bytearray(closes))) & (size >= 0)
+
+    @F.pandas_udf("boolean")
+    def decodes(payloads: pd.Series) -> pd.Series:
+        def one(raw):
+            try:
+                bytes(raw).decode(encoding)
+            except UnicodeError:
+                return False
+            return True
+
+        return payloads.map(one, na_action="ignore")
+
+    return around & F.coalesce(decodes(F.substring(content, F.lit(len(opens) + 1), F.greatest(size, F.lit(0)))), F.lit(False))
+
+
 def composed_check(rows: DataFrame, encoding: str) -> DataFrame:
     """``(id, composed, encodable, kana)`` of ``(id, open, translation, close)``: the composed text must survive the codec."""
     own = rows.select("id", F.concat(F.coalesce("open", F.lit("")), F.coalesce("translation", F.lit("")), F.coalesce("close", F.lit(""))).alias("composed"))
@@ -229,18 +325,17 @@ def readback(expected: DataFrame, members: DataFrame, key: str = "member") -> Da
     return both.select(key, F.when(F.col("b").isNull(), "missing").when(F.col("a") != F.col("b"), "hash differs").alias("problem")).where("problem IS NOT NULL")
 
 
-def retained(edges: DataFrame, releases: DataFrame, rounds: int = 50) -> DataFrame:
+def retained(edges: DataFrame, releases: DataFrame) -> DataFrame:
     """``(node)``: everything that releases depend on through ``(node, input)``, themselves included.
 
-    The frontier is joined until it is empty; each round is checkpointed.
+    The frontier is joined until it is empty, which it is after as many rounds as the longest chain has nodes; each
+    round is checkpointed.
     """
     from segmill.session import checkpointed
 
     known = checkpointed(releases.select("node").distinct())
     frontier = known
-    for _ in range(rounds):
-        frontier = checkpointed(frontier.join(edges, "node").select(F.col("input").alias("node")).distinct().join(known, "node", "left_anti"))
-        if frontier.isEmpty():
-            break
+    while not frontier.isEmpty():
+        frontier = checkpointed(frontier.join(edges, "node").select(F.col("input").alias("node")).where("node IS NOT NULL").distinct().join(known, "node", "left_anti"))
         known = checkpointed(known.unionByName(frontier))
     return known

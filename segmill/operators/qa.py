@@ -16,18 +16,31 @@ from pyspark.sql import functions as F
 from segmill.functions import codecs
 from segmill.functions import text as T
 
-#: Glossaries up to this size are literals of the plan; larger ones go through a string automaton.
+#: Glossaries up to this size are literals of the plan; larger ones go through a string automaton, with the same findings.
 LITERAL_TERMS = 40
 SHOWN_TARGETS, SHOWN_KANA = 10, 40
 
 
 @dataclass(frozen=True)
 class Glossary:
-    """Required translations, ``(source, allowed targets)``, and texts that no target may hold."""
+    """Required translations, ``(source, allowed targets)``, and texts that no target may hold.
+
+    No source, target or forbidden text may be NULL or empty, be the glossary read from a file or a table: an empty one would be in
+    every text.
+    """
 
     terms: tuple[tuple[str, tuple[str, ...]], ...] = ()
     forbidden: tuple[str, ...] = ()
 
+    def __post_init__(self):
+        for place, (source, targets) in enumerate(self.terms, 1):
+            if not source:
+                raise ValueError(f"glossary term {place} has no source")
+            if not all(targets):
+                raise ValueError(f"glossary term {place} has no valid targets")
+        if not all(self.forbidden):
+            raise ValueError("forbidden texts must not be empty")
+
 
 @dataclass(frozen=True)
 class Policy:
@@ -104,8 +117,7 @@ def _automata(glossary: Glossary):
     def automaton(words: set[str]):
         own = ahocorasick.Automaton()
         for word in words:
-            if word:
-                own.add_word(word, word)
+            own.add_word(word, word)
         if len(own):
             own.make_automaton()
         return lambda text: {w for _, w in own.iter(text)} if len(own) and text else set()
@@ -245,6 +257,8 @@ def summary(records: DataFrame, policy: Policy = Policy()) -> DataFrame:  # noqa
     member = differing_keys(records).withColumn("member", F.lit(True))
     side = "failing" if policy.require_consistent else "warning"
     # by id first: an id's further row depends on its other rows, and ids are counted where they meet
+    # pending records have no key; each gets one of its own that no source has (sources are stripped), so that they don't meet in one task
+    judged = judged.withColumn("key", F.coalesce("key", F.concat(F.lit(" "), F.xxhash64("segment_id").cast("string"))))
     per_id = judged.join(member, "key", "left").groupBy("segment_id").agg(
         F.count("*").alias("n"), F.count_if("done").alias("done"), F.count_if("failing").alias("failing"), F.count_if("warning").alias("warning"),
         (F.coalesce(F.bool_or("member"), F.lit(False)) & ~F.bool_or(side)).alias("further"),

@@ -15,12 +15,14 @@ def judged(catalog: DataFrame, rows: DataFrame, expected_sha256: str, encoding:
 
     ``catalog`` is ``(row_idx, segment_id, source, target)``, ``rows`` is ``(line_no, current_sha256,
     segment_id, reviewed_target)``. The first failing test counts: catalog hash; id unknown or seen in an
-    earlier row (blank rows count as seen); then, unless the target is blank, control tokens, a different
+    earlier row (blank rows count as seen; of a catalog id that is repeated the first record counts); then, unless the target is blank, control tokens, a different
     existing target, the encoding of the whole target. Messages hold no translated text.
     """
-    own = with_ids(catalog).select("segment_id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("target", F.lit("")).alias("target"), F.lit(True).alias("known"))
+    text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    first = with_ids(catalog).groupBy("segment_id").agg(F.min_by(F.struct(text("source"), text("target")), "row_idx").alias("c"))
+    own = first.select("segment_id", "c.source", "c.target", F.lit(True).alias("known"))
     earliest = rows.groupBy("segment_id").agg(F.min("line_no").alias("first_line"))
-    joined = rows.join(earliest, "segment_id", "left").join(own.dropDuplicates(["segment_id"]), "segment_id", "left")
+    joined = rows.join(earliest, "segment_id", "left").join(own, "segment_id", "left")
     target = F.coalesce(F.col("reviewed_target"), F.lit(""))
     prefix = F.concat(F.lit("CSV row "), F.col("line_no"), F.lit(": "))
     blank = T.is_blank(target)

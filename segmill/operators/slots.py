@@ -62,9 +62,10 @@ def scan(files: DataFrame, offset: int, slot_size: int, count: int, encoding: st
     good = files.where(F.size(layout_errors(F.col("content"), offset, slot_size, count)) == 0)
     if count <= 0 or slot_size <= 0:
         good, count = good.where("false"), 1
-    each = good.select("path", "content", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("index"))
-    start = F.col("index") * slot_size + offset
-    raw = each.select("path", "index", start.cast("long").alias("offset"), F.expr(f"substring(content, index * {slot_size} + {offset} + 1, {slot_size})").alias("raw"))
+    # the slots are cut out before they become rows, so that no row carries the file
+    cut = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.substring("content", i * slot_size + offset + 1, F.lit(slot_size)))
+    each = good.select("path", F.posexplode(cut).alias("index", "raw"))
+    raw = each.select("path", "index", (F.col("index") * slot_size + offset).cast("long").alias("offset"), "raw")
     read = raw.withColumn("s", _read(encoding)("raw"))
     wide = _wide(encoding)
     return read.select(

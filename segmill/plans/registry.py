@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from segmill.plans import migration, quality, training, trees
+from segmill.plans import checks, migration, quality, training, trees
 
-PARTS = [training, quality, migration, trees]
+PARTS = [training, quality, migration, trees, checks]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,10 +102,11 @@ def slots_changed(spark, sf_dir):
 
 
 def _bitmaps(spark, sf_dir, grown: int = 0):
-    part = table(spark, sf_dir, "part").where(F.col("p_partkey") % 7 != grown)
+    part = table(spark, sf_dir, "part")
     wide = F.lpad(F.hex(F.col("p_size") + F.when(F.col("p_partkey") % 5 == grown, 1).otherwise(0)), 2, "0")
     head = F.concat(F.lit("424D" + "00" * 12 + "28000000"), wide, F.lit("000000" + "0A000000" + "0100" + "2000" + "00" * 24))
-    return part.select(F.concat("p_partkey", F.lit(".BMP")).alias("path"), F.unhex(head).alias("content"))
+    other = F.when(F.col("p_partkey") % 7 == grown, f"other{grown}/").otherwise("")  # names that the other build lacks
+    return part.select(F.concat(other, "p_partkey", F.lit(".BMP")).alias("path"), F.unhex(head).alias("content"))
 
 
 def images_inventory(spark, sf_dir):
@@ -128,10 +129,17 @@ def manifest_entries(spark, sf_dir):
     return manifest.build(_payload(spark, sf_dir), _tree(spark, sf_dir))
 
 
+def _half_applied(spark, sf_dir):
+    """All files of both trees: by their hashes new, as before, changed otherwise, or under another name."""
+    both = _payload(spark, sf_dir).select("rel", F.col("sha256").alias("n")).join(_tree(spark, sf_dir).select("rel", F.col("sha256").alias("o")), "rel", "full_outer")
+    by = F.substring(F.coalesce("n", "o"), 1, 1)
+    other = F.concat(F.when(by >= "d", "other/").otherwise(""), "rel")
+    return both.select(other.alias("rel"), F.when(by < "6", F.coalesce("n", "o")).when(by < "b", F.coalesce("o", F.reverse("n"))).otherwise(F.reverse(F.coalesce("n", "o"))).alias("sha256"))
+
+
 def manifest_states(spark, sf_dir):
     entries = manifest.build(_payload(spark, sf_dir), _tree(spark, sf_dir))
-    now = _payload(spark, sf_dir).where(F.substring("sha256", 1, 1) < "8").unionByName(_tree(spark, sf_dir).where(F.substring("rel", -5, 1) < "5")).groupBy("rel").agg(F.max("sha256").alias("sha256"))
-    return manifest.states(entries, now)
+    return manifest.states(entries, _half_applied(spark, sf_dir))
 
 
 def manifest_overall(spark, sf_dir):
@@ -180,9 +188,9 @@ QUERIES = {
 _CAT = "CASE " + " ".join(f"WHEN e IN ({', '.join(repr(x) for x in own)}) THEN '{name}'" for name, own in paths.CATEGORIES.items()) + " END"
 
 
-def _signal_sql() -> str:
+def _signal_sql(engines: tuple = audit.ENGINES) -> str:
     parts = []
-    for e in audit.ENGINES:
+    for e in engines:
         name = e.name.replace("'", "''")
         for group, patterns in e.signals:
             tests = " OR ".join(f"p GLOB '{x.lower()}' OR b GLOB '{x.lower()}'" for x in patterns)
@@ -199,9 +207,10 @@ _PAY = """c AS (SELECT replace(segment_id, ':', '/') || '.txt' AS rel, arg_max(s
 p AS (SELECT replace(trim(lower(segment_id)), ':', '/') || '.txt' AS rel, arg_max(source, row_id) AS t FROM seg_previous WHERE source IS NOT NULL GROUP BY 1),
 pay AS (SELECT rel, sha256(t) AS sha256, length(t) AS size FROM c), tree AS (SELECT rel, sha256(t) AS sha256, length(t) AS size FROM p),
 ent AS (SELECT a.rel, CASE WHEN o.rel IS NULL THEN 'add' ELSE 'replace' END AS action, o.sha256 AS original_sha256, o.size AS original_size, a.sha256 AS new_sha256, a.size AS new_size FROM pay a LEFT JOIN tree o ON a.rel = o.rel)"""
-_STATES = f"""WITH {_PAY}, now AS (SELECT rel, max(sha256) AS h FROM (SELECT rel, sha256 FROM pay WHERE left(sha256, 1) < '8' UNION ALL SELECT rel, sha256 FROM tree WHERE substr(rel, -5, 1) < '5') GROUP BY 1),
+_STATES = f"""WITH {_PAY}, both_ AS (SELECT coalesce(p.rel, t.rel) AS rel, p.sha256 AS n, t.sha256 AS o, left(coalesce(p.sha256, t.sha256), 1) AS k FROM pay p FULL JOIN tree t ON p.rel = t.rel),
+now AS (SELECT CASE WHEN k >= 'd' THEN 'other/' ELSE '' END || rel AS rel, CASE WHEN k < '6' THEN coalesce(n, o) WHEN k < 'b' THEN coalesce(o, reverse(n)) ELSE reverse(coalesce(n, o)) END AS h FROM both_),
 st AS (SELECT e.rel, CASE WHEN h = new_sha256 THEN 'applied' WHEN action = 'replace' AND h = original_sha256 THEN 'clean' WHEN action = 'add' AND h IS NULL THEN 'clean' ELSE 'drift' END AS state FROM ent e LEFT JOIN now USING (rel))"""
-_BMP = lambda g: f"(SELECT p_partkey || '.BMP' AS path, p_size + CASE WHEN p_partkey % 5 = {g} THEN 1 ELSE 0 END AS width FROM part WHERE p_partkey % 7 <> {g})"
+_BMP = lambda g: f"(SELECT CASE WHEN p_partkey % 7 = {g} THEN 'other{g}/' ELSE '' END || p_partkey || '.BMP' AS path, p_size + CASE WHEN p_partkey % 5 = {g} THEN 1 ELSE 0 END AS width FROM part)"
 _TWO = "(length(regexp_replace({0}, '[^\\x00-\\x7f]', '', 'g')) + 2 * (length({0}) - length(regexp_replace({0}, '[^\\x00-\\x7f]', '', 'g'))))"
 ORACLES = {
     "path_facts": f"SELECT path, lower(path) AS normal, e AS suffix, {_CAT} AS category, false AS safe FROM (SELECT path, lower(regexp_extract(path, '[^./](\\.[^./]+)$', 1)) AS e FROM script_files)",

@@ -56,10 +56,20 @@ def write_jsonl_file(df: DataFrame, path: str | Path, order: str = "row_idx", ra
     return n
 
 
-def write_report(value: dict, path: str | Path, force: bool = False) -> None:
+def write_report(value: dict, path: str | Path, force: bool = False, streams: dict[str, DataFrame] | None = None) -> None:
+    """A JSON report; ``streams`` are tables written as lists of objects under their names, row by row, never held as a whole."""
     (out,) = guard([path], force=force)
     out.parent.mkdir(parents=True, exist_ok=True)
-    out.write_text(json.dumps(value, ensure_ascii=False, indent=2, sort_keys=True, default=str) + "\n", "utf-8", newline="\n")
+    dump = lambda v, **o: json.dumps(v, ensure_ascii=False, sort_keys=True, default=str, **o)
+    with out.open("w", encoding="utf-8", newline="\n") as file:
+        body = dump(value, indent=2)
+        file.write(body[:-1].rstrip() if streams else body)
+        for k, (name, rows) in enumerate((streams or {}).items()):
+            file.write(("," if value or k else "") + f"\n  {dump(name)}: [")
+            for n, row in enumerate(rows.toLocalIterator(prefetchPartitions=True)):
+                file.write(("," if n else "") + "\n    " + dump(row.asDict(recursive=True)))
+            file.write("\n  ]")
+        file.write("\n}\n" if streams else "\n")
 
 
 def one_row(df: DataFrame) -> dict:
@@ -102,3 +112,14 @@ def markdown(title: str, facts: dict, findings: Iterable[tuple[str, str]] = ())
     lines = [f"# {title}", "", *(f"- {k.replace('_', ' ')}: **{v}**" for k, v in facts.items()), ""]
     shown = [f"- `{name}`: {text}" for name, text in findings]
     return "\n".join([*lines, *(["## Findings", "", *shown, ""] if shown else [])])
+
+
+def write_markdown(path: str | Path, title: str, facts: dict, sections: Iterable[tuple[str, Iterable[str]]], force: bool = False) -> None:
+    """A report of facts and sections, written line by line; sections without a line are left out."""
+    (out,) = guard([path], force=force)
+    out.parent.mkdir(parents=True, exist_ok=True)
+    with out.open("w", encoding="utf-8", newline="\n") as file:
+        file.write(markdown(title, facts))
+        for heading, own in sections:
+            for k, line in enumerate(own):
+                file.write(f"\n## {heading}\n\n{line}\n" if not k else f"{line}\n")
