@@ -15,9 +15,9 @@ import functools
 import math
 import re
 from array import array
-from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -209,23 +209,30 @@ def decode(text: str, read_as: str, really: str, words: Words) -> tuple[str, flo
     return "".join(reversed(out)), score, len(decoded)
 
 
-def _promise(text: str, read_as: str, really: str, words: Words) -> float:
-    """Quick score of a channel: known characters that the plain decoding of the damaged stretch gives.
+def _promising(text: str, channels: Sequence[tuple[str, str]], words: Words) -> Iterator[tuple[str, str]]:
+    """The channels in which the plain decoding of a damaged stretch gives known characters.
 
-    Unknown ones count a quarter against it, since sound text may stand around the damage.
+    Unknown ones count a quarter against it, since sound text may stand around the damage. Encodings that lack more than
+    a quarter of the stretch's characters are left out. The bytes are made once an encoding.
     """
-    raw = bytearray()
-    for c in text:
-        b = char_bytes(c, read_as) if c != "\ufffd" else None
-        raw += b if b is not None else b" "
-    good = bad = 0
-    for c in set(bytes(raw).decode(really, "replace")):
-        if not c.isascii() and c != "\ufffd":
-            if words.single.get(c, UNSEEN) > -11.5:
-                good += 1
-            else:
-                bad += 1
-    return good - bad / 4 if good >= (1 if really == "utf-8" else 3) else 0.0
+    visible = [c for c in text if not c.isascii() and c != "\ufffd"]
+    bytes_of: dict[str, bytes | None] = {}
+    for read_as, really in channels:
+        if read_as not in bytes_of:
+            lacking = sum([char_bytes(c, read_as) is None for c in visible])
+            bytes_of[read_as] = None if lacking * 4 > len(visible) else b"".join([b" " if c == "\ufffd" else char_bytes(c, read_as) or b" " for c in text])
+        raw = bytes_of[read_as]
+        if raw is None:
+            continue
+        good = bad = 0
+        for c in set(raw.decode(really, "replace")):
+            if not c.isascii() and c != "\ufffd":
+                if words.single.get(c, UNSEEN) > -11.5:
+                    good += 1
+                else:
+                    bad += 1
+        if good >= (1 if really == "utf-8" else 3) and good - bad / 4 > 0:
+            yield read_as, really
 
 
 _PEELED = re.compile("[\x20-\x7e]*(?:[\x80-\u024f\u02c6\u02dc\u2013-\u203a\u20ac\u2122][\x20-\x7e]*){4,}")
@@ -261,6 +268,26 @@ _OTHER_RUN = re.compile("[^\x00-\x7f\u3000-\u9fff\uff00-\uffef]{9}")
 _WIDE = tuple(e for e in _READ_AS_UTF8 if e in ("cp932", "gb18030", "big5hkscs", "euc-jp", "cp949"))
 
 
+@functools.cache
+def _may_hold(read_as: str) -> re.Pattern:
+    """What every text has whose bytes in an encoding of several bytes hold such a run.
+
+    Its nine bytes are lead or trail bytes of UTF-8, so all whole characters among them have such bytes alone: four
+    characters at least, or two where they can have three bytes.
+    """
+    fits = set(range(0x80, 0xC0)) | set(range(0xE3, 0xEA))
+    known, least = [], 4
+    for c in map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x10000))):
+        try:
+            raw = c.encode(read_as)
+        except UnicodeEncodeError:
+            continue
+        if fits.issuperset(raw):
+            known.append(c)
+            least = 2 if len(raw) > 2 else least
+    return re.compile("[" + re.escape("".join(known)) + "]{%d}" % least)
+
+
 def hidden_utf8(text: str, share: float = 0.0) -> bool:
     """Whether the bytes of the text in an encoding it may have been read in hold a run of UTF-8, however common its characters are.
 
@@ -269,6 +296,8 @@ def hidden_utf8(text: str, share: float = 0.0) -> bool:
     if text.isascii():
         return False
     for read_as in _READ_AS_UTF8 if _OTHER_RUN.search(text) else _WIDE:
+        if read_as in _WIDE and _may_hold(read_as).search(text) is None:
+            continue
         raw = text.encode(read_as, "replace")
         held = sum(len(m.group()) for m in _UTF8_RUN.finditer(raw))
         if held and held >= share * len(raw):
@@ -296,13 +325,7 @@ def restore(text: str, common: charstats.Commonness, words: Words, channels: Seq
             break
         places = [current.index(rare[0]), current.rindex(rare[-1]) + 1]
         span = current[places[0] : places[1]]
-        visible = [c for c in span if not c.isascii() and c != "\ufffd"]
-        promising = []
-        for read_as, really in channels:
-            if sum(char_bytes(c, read_as) is None for c in visible) * 4 > len(visible):
-                continue
-            if _promise(span, read_as, really, words) > 0:
-                promising.append((read_as, really))
+        promising = [*_promising(span, channels, words)]
         stands, won = words.score(current), None
         for read_as, really in promising:
             candidate, score, decoded = decode(current, read_as, really, words)
@@ -328,16 +351,18 @@ def word_counts(values: DataFrame, common: charstats.Commonness) -> Words:
     shared = spark.sparkContext.broadcast(common)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[str] = Counter()
+        held, size = [], 0
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                if t and not shared.value.suspicious(t, 1) and not hidden_utf8(t, 0.1):
-                    held.update(t)
-                    held.update(map(str.__add__, "\n" + t, t + "\n"))
-            if len(held) > 2_000_000:
+            known = shared.value
+            sound = [t for t in batch.column(0).to_pylist() if t and not known.suspicious(t, 1) and not hidden_utf8(t, 0.1)]
+            if sound:
+                held.append(_tally(sound))
+                size += len(held[-1][0])
+            if size > 2_000_000:
                 yield _counts(held)
-                held.clear()
-        yield _counts(held)
+                held, size = [], 0
+        if held:
+            yield _counts(held)
 
     counted = values.select("value").where("value IS NOT NULL").distinct().mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
     counted = counted.where("length(w) = 1 OR n > 1")
@@ -353,8 +378,20 @@ def word_counts(values: DataFrame, common: charstats.Commonness) -> Words:
     return Words(single, following)
 
 
-def _counts(held: Counter[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([*held], pa.string()), pa.array([*held.values()], pa.int64())], names=["w", "n"])
+def _tally(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """``(codes, counts)`` of the characters and pairs of texts; a line break stands before and after every text."""
+    points = np.frombuffer(("\n" + "\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    inside = np.ones(len(points), bool)  # but for the breaks put between the texts
+    inside[np.cumsum([0, *(len(t) + 1 for t in texts)])] = False
+    codes = np.concatenate((points[inside], (points[:-1] + np.uint64(1)) << np.uint64(21) | points[1:]))
+    return np.unique(codes, return_counts=True)
+
+
+def _counts(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    codes, place = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
+    counts = np.bincount(place, weights=np.concatenate([n for _, n in held])).astype(np.int64)
+    words = [chr(c) if c <= 0x1FFFFF else chr((c >> 21) - 1) + chr(c & 0x1FFFFF) for c in codes.tolist()]
+    return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(counts)], names=["w", "n"])
 
 
 def repaired(values: DataFrame) -> DataFrame:
