@@ -136,8 +136,8 @@ def _pairs_of_runs(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tu
 
 
 def _candidates(block: int):
-    """Pairs that share a band key; members of large buckets come out as blocks instead."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("bucket", pa.int64()), ("left", pa.list_(pa.int64())), ("right", pa.list_(pa.int64()))])
+    """Pairs that share a band key; members of large buckets come out once, in numbered pieces, instead."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("bucket", pa.int64()), ("piece", pa.int64()), ("members", pa.list_(pa.int64()))])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ids = _unpacked(batches)
@@ -154,16 +154,14 @@ def _candidates(block: int):
                 part = both[i : i + 100_000]
                 n = len(part)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(part[:, 0]), pa.array(part[:, 1]), pa.nulls(n, pa.int64()), pa.nulls(n, schema.field("left").type), pa.nulls(n, schema.field("right").type)], schema=schema
+                    [pa.array(part[:, 0]), pa.array(part[:, 1]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, schema.field("members").type)], schema=schema
                 )
         for s, n in zip(starts[sizes > limit], sizes[sizes > limit], strict=True):
-            pieces = [ids[s + i : s + min(i + block, n)] for i in range(0, n, block)]
-            for i, x in enumerate(pieces):
-                for y in pieces[i:]:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([int(keys[s] >> np.uint64(1))], pa.int64()), pa.array([x.tolist()], schema.field("left").type), pa.array([y.tolist()], schema.field("right").type)],
-                        schema=schema,
-                    )
+            for no, i in enumerate(range(0, n, block)):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([int(keys[s] >> np.uint64(1))], pa.int64()), pa.array([no], pa.int64()), pa.array([ids[s + i : s + min(i + block, n)].tolist()], schema.field("members").type)],
+                    schema=schema,
+                )
 
     return meet
 
@@ -189,10 +187,7 @@ def _verify_blocks(threshold: float):
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for members in batch.column("members").to_pylist():
-                sides = [[m for m in members if m["side"] == k] for k in (0, 1)]
-                left = sides[0]
-                right = sides[1] or left
+            for same, left, right in zip(batch.column("same").to_pylist(), batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True):
                 la, lb = [m["text"] for m in left], [m["text"] for m in right]
                 sa, na = shingles.bit_sketches(la)
                 sb, nb = shingles.bit_sketches(lb)
@@ -202,7 +197,7 @@ def _verify_blocks(threshold: float):
                     nb[None, :] - np.bitwise_count(~sa[:, None, :] & sb[None, :, :]).sum(2, dtype=np.int64),
                 )
                 open_ = 2 * most >= threshold * (na[:, None] + nb[None, :]) - 1e-9
-                if not sides[1]:
+                if same:
                     open_ &= np.triu(np.ones(open_.shape, bool), 1)
                 i, j = np.nonzero(open_)
                 if not len(i):
@@ -222,25 +217,28 @@ def similar_texts(texts: DataFrame, threshold: float = 0.8, bands: int = BANDS,
 
     Takes :func:`distinct_texts`. Signatures are made in NumPy; band entries move packed (6 bytes of key,
     a packed id), one shuffle for all bands. A bucket with many members, be it a third of all texts, is
-    worked block against block in separate tasks, so no task holds its pairs. Every
+    written once in pieces, and piece against piece is a row of its own, so no task holds its pairs or lists its blocks. Every
     candidate is verified on the whole texts; no bucket is capped or dropped.
     """
     spark = texts.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     weights = spark.sparkContext.broadcast(element_weights(texts))  # 4 MB, whatever the input
     packed = texts.select("text", "rep").mapInArrow(_entries(parts, bands, rows, weights), "part int, keys binary, ids binary")
-    met = packed.repartition(parts, "part").mapInArrow(_candidates(block), "a long, b long, bucket long, left array<long>, right array<long>")
+    met = packed.repartition(parts, "part").mapInArrow(_candidates(block), "a long, b long, bucket long, piece long, members array<long>")
     met = checkpointed(met)  # read twice below; small: candidates only
     direct = met.where("a IS NOT NULL").select("a", "b")
     named = direct.distinct().join(texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b")
     shape = "a long, b long, similarity double"
     found = named.select("a", "b", "ta", "tb").mapInArrow(_verify(threshold), shape)
-    # blocks of large buckets: every member's text moves once a block, not once a pair
-    hot = met.where("a IS NULL").select(F.xxhash64("bucket", "left", "right").alias("block"), "left", F.when(F.col("left") != F.col("right"), F.col("right")).alias("right"))
-    side = lambda c, k: F.transform(F.coalesce(F.col(c), F.array().cast("array<long>")), lambda x: F.struct(x.alias("id"), F.lit(k).alias("side")))
-    members = hot.select("block", F.explode(F.concat(side("left", 0), side("right", 1))).alias("m")).select("block", "m.id", "m.side")
-    members = members.join(texts.select(F.col("rep").alias("id"), "text"), "id").groupBy("block").agg(F.collect_list(F.struct("id", "side", "text")).alias("members"))
-    blocks = members.select("members").mapInArrow(_verify_blocks(threshold), shape)
+    # large buckets: a piece's texts are gathered once; which pieces meet is worked out from their numbers, and
+    # each meeting is a row of its own, so that one bucket's are many tasks
+    hot = met.where("a IS NULL").select("bucket", "piece", F.explode("members").alias("id"))
+    pieces = hot.join(texts.select(F.col("rep").alias("id"), "text"), "id").groupBy("bucket", "piece").agg(F.collect_list(F.struct("id", "text")).alias("members"))
+    pieces = checkpointed(pieces)
+    last = pieces.groupBy("bucket").agg(F.max("piece").alias("last"))
+    left = pieces.join(last, "bucket").select("bucket", F.col("piece").alias("first"), F.explode(F.sequence("piece", "last")).alias("piece"), F.col("members").alias("left"))
+    meetings = left.join(pieces.withColumnRenamed("members", "right"), ["bucket", "piece"]).select((F.col("first") == F.col("piece")).alias("same"), "left", "right")
+    blocks = meetings.mapInArrow(_verify_blocks(threshold), shape)
     return found.unionByName(blocks).groupBy("a", "b").agg(F.first("similarity").alias("similarity"))
 
 
@@ -267,7 +265,7 @@ def members_of(rows: DataFrame, texts: DataFrame, pairs: DataFrame, least: int)
     return rows.where(F.length("text") >= max(2, least)).join(own, "text").select("rep", "id")
 
 
-def groups(rows: DataFrame, threshold: float = 0.8, least: int = 24, rounds: int = 50) -> DataFrame:
+def groups(rows: DataFrame, threshold: float = 0.8, least: int = 24) -> DataFrame:
     """``(id, class_id, links)``: every row with the least id of its similarity class.
 
     Classes are connected components over distinct texts, found by alternating large-star and small-star
@@ -277,13 +275,20 @@ def groups(rows: DataFrame, threshold: float = 0.8, least: int = 24, rounds: int
     texts = checkpointed(distinct_texts(rows, max(2, least)))
     edges = checkpointed(similar_texts(texts, threshold).select(F.col("a").alias("u"), F.col("b").alias("v")))
     degree = edges.select(F.explode(F.array("u", "v")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
-    label = components(edges, rounds)
+    label = components(edges)
     by_text = texts.join(label, "rep", "left").join(degree, "rep", "left").select("text", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
     return rows.join(by_text, "text", "left").select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """``(rep, class_id)`` of the nodes of ``(u, v)``: star contraction with a checkpoint each round."""
+#: Rounds of the star contraction after which classes that still change are an error; they end after the square of the logarithm of the nodes.
+ROUNDS = 1000
+
+
+def components(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """``(rep, class_id)`` of the nodes of ``(u, v)``: star contraction with a checkpoint each round, until nothing changes.
+
+    Raises where ``rounds`` don't suffice; no unfinished classes come out.
+    """
     both = lambda e: e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     current = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
     before = None
@@ -300,4 +305,6 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"classes still change after {rounds} rounds")
     return current.groupBy("u").agg(F.min("v").alias("class_id")).select(F.col("u").alias("rep"), "class_id").unionByName(current.select(F.col("v").alias("rep"), F.col("v").alias("class_id")).distinct())
