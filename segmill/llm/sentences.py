@@ -31,18 +31,17 @@ _PAIRS = {"“": "”", "„": "“", "«": "»", "‹": "›", "「": "」", "
 _BRACKETS = set("（([［【")
 _CLOSERS = "”’»›」』）)】〉》]］〟"
 _POSITION = regex.compile(rf"[{regex.escape(_END)}]+[ \u00a0\u202f]?[»›]|[{regex.escape(_END)}{_CLOSED}]+[{regex.escape(_CLOSERS)}]*")
-_LEADS = regex.compile(rf"(?:\A|[{regex.escape(_END + _CLOSED)}][{regex.escape(_CLOSERS)}]*)\s*\Z")
 _OPEN = regex.compile("[" + regex.escape("".join(_PAIRS) + "\"") + "]")
 
 
 class Rule(NamedTuple):
     breaks: bool
-    before: regex.Pattern
-    after: regex.Pattern
+    here: regex.Pattern
 
 
 def _rules(*rows: tuple[bool, str, str]) -> tuple[Rule, ...]:
-    return tuple(Rule(b, regex.compile(rf"(?:{before})\Z"), regex.compile(after)) for b, before, after in rows)
+    """Rules of a break or none, what stands before a position, however long, and what after it."""
+    return tuple(Rule(b, regex.compile(rf"(?<={before})(?:{after})")) for b, before, after in rows)
 
 
 BREAK, NO_BREAK = True, False
@@ -206,13 +205,16 @@ def shadow(block: str) -> str:
             if out[k] in _END or out[k] in _CLOSED:
                 out[k] = _BLANKED
         if ends:
-            lead = "".join(out[max(0, start - 8) : start])
-            leading = _LEADS.search(lead) is not None if start > 8 else (_LEADS.search("".join(out[:start])) is not None)
-            if start > 8 and leading and not lead.strip():
-                leading = False
+            k = start  # behind the last visible character before the span
+            while k and out[k - 1].isspace():
+                k -= 1
+            j = k
+            while j and out[j - 1] in _CLOSERS:
+                j -= 1
+            leading = not k or j > 0 and (out[j - 1] in _END or out[j - 1] in _CLOSED)
             if block[start] in _BRACKETS:
                 out[end] = BRACKET_LEADING if leading else BRACKET_INSIDE
-            elif lead.rstrip()[-1:] in (":", "："):
+            elif k and out[k - 1] in ":：":
                 out[end] = QUOTE_INTRODUCED
             else:
                 out[end] = QUOTE_LEADING if leading else QUOTE_INSIDE
@@ -230,9 +232,8 @@ def split_block(block: str, lang: str) -> list[tuple[int, int]]:
         at = m.end()
         if at >= len(seen):
             break
-        head = seen[max(0, at - 24) : at]
         for rule in rules:
-            if rule.after.match(seen, at) and rule.before.search(head):
+            if rule.here.match(seen, at):
                 if rule.breaks:
                     out.append((start, at))
                     start = at
