@@ -112,7 +112,8 @@ def scan(spark: SparkSession, args) -> int:
     facts = sinks.one_row(audit.totals(inventory))
     plan = audit.plan(audit.detect(inventory, engines))
     if args.json or args.markdown:
-        probed = audit.probes(tree.files_with_inventory(spark, root, args.max_files), args.max_encoding_samples, args.sample_bytes).collect()
+        first = audit.first_scripts(inventory.withColumnRenamed("size", "length"), args.max_encoding_samples)
+        probed = audit.probes(tree.heads(first, root, args.sample_bytes), args.max_encoding_samples, args.sample_bytes).collect()
         if args.json:
             report = {"inventory": facts, "warnings": warnings, "engines": [r.asDict(True) for r in found], "encodings": [r.asDict(True) for r in probed], "plan": plan}
             report |= {"extensions": [r.asDict() for r in audit.top_extensions(inventory).collect()], "categories": [r.asDict() for r in audit.categories(inventory).collect()]}

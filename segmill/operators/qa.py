@@ -253,12 +253,12 @@ def summary(records: DataFrame, policy: Policy = Policy()) -> DataFrame:  # noqa
     """
     failing, warning = F.exists("issues", lambda i: i["blocking"]), F.exists("issues", lambda i: ~i["blocking"])
     done = ~T.is_blank(F.col("target"))
-    judged = record_issues(records, policy).select("segment_id", F.when(done, T.stripped(F.col("source"))).alias("key"), done.alias("done"), failing.alias("failing"), warning.alias("warning"))
+    judged = record_issues(records, policy).select("row_idx", "segment_id", F.when(done, T.stripped(F.col("source"))).alias("key"), done.alias("done"), failing.alias("failing"), warning.alias("warning"))
     member = differing_keys(records).withColumn("member", F.lit(True))
     side = "failing" if policy.require_consistent else "warning"
     # by id first: an id's further row depends on its other rows, and ids are counted where they meet
     # pending records have no key; each gets one of its own that no source has (sources are stripped), so that they don't meet in one task
-    judged = judged.withColumn("key", F.coalesce("key", F.concat(F.lit(" "), F.xxhash64("segment_id").cast("string"))))
+    judged = judged.withColumn("key", F.coalesce("key", F.concat(F.lit(" "), F.xxhash64("row_idx", "segment_id").cast("string"))))
     per_id = judged.join(member, "key", "left").groupBy("segment_id").agg(
         F.count("*").alias("n"), F.count_if("done").alias("done"), F.count_if("failing").alias("failing"), F.count_if("warning").alias("warning"),
         (F.coalesce(F.bool_or("member"), F.lit(False)) & ~F.bool_or(side)).alias("further"),

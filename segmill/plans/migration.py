@@ -87,7 +87,7 @@ def review_summary(spark, sf_dir):
 
 
 def review_judged_gbk(spark, sf_dir):
-    """With the target encoding, whose tables SQL hasn't."""
+    """With the target encoding; its SQL has the codec's table as a character class."""
     return review.judged(_catalog(spark, sf_dir), _reviews(spark, sf_dir), _HASH, "gbk").select("line_no", "segment_id", "error")
 
 
@@ -116,14 +116,15 @@ x AS (SELECT row_idx, segment_id, s AS source, decision, CASE WHEN decision = 'c
   decision = 'kept-current' AND NOT {sql.agree('s', 't')} AS warned FROM r)
 """
 _N = lambda d: f"count(*) FILTER (WHERE decision = '{d}')"
-_REVIEW = f"""
+_JUDGED = lambda last="": f"""
 WITH c AS (SELECT * FROM seg_current QUALIFY row_number() OVER (PARTITION BY segment_id ORDER BY updated_at DESC NULLS LAST, row_id DESC) = 1),
 j AS (SELECT r.row_id AS line_no, r.segment_id, coalesce(r.reviewed_target, '') AS n, r.current_sha256 AS h, min(r.row_id) OVER (PARTITION BY r.segment_id) AS f, c.row_id AS known, coalesce(c.source, '') AS s, coalesce(c.target, '') AS t
   FROM review_rows r LEFT JOIN c ON r.segment_id = c.segment_id),
 x AS (SELECT *, 'CSV row ' || line_no || ': ' || CASE WHEN h IS NULL OR h <> '{_HASH}' THEN 'review CSV belongs to a different current catalog'
   WHEN known IS NULL OR line_no > f THEN 'unknown or duplicate review segment ID' WHEN {sql.strip('n')} = '' THEN NULL
-  WHEN NOT {sql.agree('s', 'n')} THEN 'placeholder mismatch: ' || segment_id WHEN t <> '' AND t <> n THEN 'existing translation differs: ' || segment_id END AS error FROM j)
-"""
+  WHEN NOT {sql.agree('s', 'n')} THEN 'placeholder mismatch: ' || segment_id WHEN t <> '' AND t <> n THEN 'existing translation differs: ' || segment_id {last} END AS error FROM j)
+"""
+_REVIEW = _JUDGED()
 ORACLES = {
     "memory_decisions": _MEMORY + "SELECT row_idx, decision, reason, catalogs, previous_rows, new_target, warned FROM x",
     "memory_summary": _MEMORY
@@ -132,6 +133,7 @@ ORACLES = {
     "memory_merged": _MEMORY + "SELECT row_idx, segment_id, source, new_target AS target FROM x",
     "memory_review_queue": _MEMORY + f"SELECT '{_HASH}' AS current_sha256, segment_id, decision, coalesce(reason, '') AS reason, '' AS previous_catalog, '' AS reviewed_target FROM x WHERE decision IN ('conflict', 'pending')",
     "review_judged": _REVIEW + "SELECT line_no, segment_id, error FROM x",
+    "review_judged_gbk": _JUDGED(f"WHEN regexp_matches(n, '{sql.outside('gbk')}') THEN 'target cannot be encoded as gbk'") + "SELECT line_no, segment_id, error FROM x",
     "review_summary": _REVIEW
     + f"""SELECT true AS dry_run, 0::BIGINT AS applied, count(*) FILTER (WHERE error IS NULL AND {sql.strip('n')} <> '') AS ready, count(*) FILTER (WHERE error IS NULL AND {sql.strip('n')} = '') AS pending, count(error) AS failed, count(*) AS review_rows,
  (SELECT count(*) FROM c) AS catalog_records, '{_HASH}' AS current_sha256, '{_HASH}' AS review_sha256 FROM x""",

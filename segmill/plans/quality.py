@@ -84,7 +84,7 @@ def qa_gate_strict(spark, sf_dir):
 
 
 def qa_gate_gbk(spark, sf_dir):
-    """Gate with the encoding rule, whose tables SQL hasn't."""
+    """Gate with the encoding rule; its SQL has the codec's table as a character class."""
     return qa.summary(records(spark, sf_dir), policy(spark, sf_dir, encoding="gbk"))
 
 
@@ -100,7 +100,10 @@ _S, _T = "coalesce(source, '')", "coalesce(target, '')"
 _PAIRS = "list_filter([" + ", ".join(f"CASE WHEN {sql.count('b', a)} <> {sql.count('b', z)} THEN '{a}{z}' END" for a, z in T.PUNCTUATION) + "], lambda x: x IS NOT NULL)"
 
 
-def _rules(complete: bool, kana: bool, translated: bool, consistent: bool) -> str:
+_NOT_GBK = sql.outside("gbk")
+
+
+def _rules(complete: bool, kana: bool, translated: bool, consistent: bool, gbk: bool = False) -> str:
     """All findings of the gate as CTEs ending in ``f(row_idx, segment_id, code, blocking)``."""
     flag = lambda x: "true" if x else "false"
     done = f"FROM r WHERE {sql.strip('t')} <> ''"
@@ -120,6 +123,8 @@ def _rules(complete: bool, kana: bool, translated: bool, consistent: bool) -> st
         "SELECT row_idx, segment_id, 'forbidden-term', true FROM r JOIN forbidden g ON contains(t, g.word) WHERE " + f"{sql.strip('t')} <> ''",
         f"SELECT row_idx, segment_id, 'inconsistent-translation', {flag(consistent)} FROM r JOIN groups g ON g.k = {sql.strip('s')} WHERE {sql.strip('t')} <> ''",
     ]
+    if gbk:
+        parts.append(one("encoding", True, f"regexp_matches(b, '{_NOT_GBK}')"))
     return f"""
 WITH r AS (SELECT row_id AS row_idx, segment_id, {_S} AS s, {_T} AS t, {sql.tokens('source')} AS st, {sql.tokens('target')} AS tt, {sql.bare(_T)} AS b FROM seg_current),
 terms AS (SELECT DISTINCT x.source AS src, x.targets AS tgts FROM (SELECT unnest(terms) AS x FROM glossary)),
@@ -130,12 +135,12 @@ f AS ({' UNION ALL '.join(parts)})
 """
 
 
-def _gate(complete=False, kana=False, translated=False, consistent=False) -> str:
+def _gate(complete=False, kana=False, translated=False, consistent=False, gbk=False) -> str:
     side = "blocking" if consistent else "NOT blocking"
     extra = f"(SELECT count(DISTINCT segment_id) FROM f WHERE code = 'inconsistent-translation' AND segment_id NOT IN (SELECT segment_id FROM f WHERE code <> 'inconsistent-translation' AND {side}))"
     rows = lambda cond: f"(SELECT count(DISTINCT row_idx) FROM f WHERE code <> 'inconsistent-translation' AND {cond})"
     failed, warned = rows("blocking") + (f" + {extra}" if consistent else ""), rows("NOT blocking") + ("" if consistent else f" + {extra}")
-    return _rules(complete, kana, translated, consistent) + f"""
+    return _rules(complete, kana, translated, consistent, gbk) + f"""
 SELECT CASE WHEN {failed} > 0 THEN 'FAIL' ELSE 'PASS' END AS gate, count(*) AS total_records, count(*) FILTER (WHERE {sql.strip('t')} <> '') AS completed,
        count(*) FILTER (WHERE {sql.strip('t')} = '') AS pending, {failed} AS failed_records, {warned} AS warning_records FROM r"""
 
@@ -158,4 +163,6 @@ SELECT row_id, {sql.strip('t')} AS stripped, length(replace(replace(b, chr(13),
   UNION ALL SELECT 'punctuation-unbalanced', 0) SELECT code, sum(n)::BIGINT AS n FROM c GROUP BY code""",
     "qa_gate": _gate(),
     "qa_gate_strict": _gate(True, True, True, True),
+    "qa_gate_gbk": _gate(gbk=True),
+    "unencodable_chars": f"SELECT c AS char, printf('U+%04X', ord(c)) AS codepoint, count(*) AS n FROM (SELECT unnest(regexp_extract_all({sql.bare('target')}, '{_NOT_GBK}', 0)) AS c FROM seg_current WHERE target IS NOT NULL) GROUP BY c",
 }

@@ -10,6 +10,15 @@ STRIP = "'" + "".join(BLANK).replace("'", "''") + "'"
 _BREAKS = "\\x0a\\x0b\\x0c\\x0d\\x1c\\x1d\\x1e\\x{85}\\x{2028}\\x{2029}"
 
 
+def outside(encoding: str) -> str:
+    """A character class of RE2 of all characters that an encoding can't hold, by ranges of the codec's own table."""
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    held = sorted(map(ord, every.encode(encoding, "ignore").decode(encoding)))
+    begins = [c for before, c in zip([-2, *held], held, strict=False) if c != before + 1]
+    ends = [c for c, after in zip(held, [*held[1:], -2], strict=True) if after != c + 1]
+    return "[^" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" if a < b else f"\\x{{{a:x}}}" for a, b in zip(begins, ends, strict=True)) + "]"
+
+
 def tokens(text: str) -> str:
     return f"regexp_extract_all(coalesce({text}, ''), '{TOKEN}', 0)"
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +71,21 @@ def contents(spark: SparkSession, root: str | Path, pattern: str | None = None)
     return raw.select(F.substring(rel, len(top) + 2, 1 << 20).alias("path"), "content", "length")
 
 
+def heads(files: DataFrame, root: str | Path, size: int) -> DataFrame:
+    """``files`` with ``content``, the first ``size`` bytes of each file below a root; nothing more of a file is read."""
+    base = Path(root).resolve(strict=True)
+
+    @F.pandas_udf("binary")
+    def read(paths: pd.Series) -> pd.Series:
+        def one(path: str) -> bytes:
+            with open(base / path, "rb") as file:
+                return file.read(size)
+
+        return paths.map(one)
+
+    return files.withColumn("content", read("path"))
+
+
 def files_with_inventory(spark: SparkSession, root: str | Path, most: int = MOST_FILES) -> DataFrame:
     """``(path, content, length, extension, is_link, walk_idx)``."""
     facts, _ = inventory(spark, root, most)

@@ -70,7 +70,8 @@ def test_audit(spark, tmp_path, capsys):
         (root / name).write_bytes(b"x\n")
     code, out, _ = run(spark, capsys, "audit", root, "--json", tmp_path / "a.json", "--markdown", tmp_path / "a.md")
     assert code == 0 and out.splitlines()[0] == "mode=read-only files=3 engine=KiriKiri candidate confidence=0.94 input_files_changed=0" and out.splitlines()[1].startswith("next=")
-    assert json.loads((tmp_path / "a.json").read_text("utf-8"))["plan"]["adapter"] == "kirikiri" and "startup.tjs" in (tmp_path / "a.md").read_text("utf-8")
+    told = json.loads((tmp_path / "a.json").read_text("utf-8"))
+    assert told["plan"]["adapter"] == "kirikiri" and [(e["path"], e["sampled_bytes"]) for e in told["encodings"]] == [("startup.tjs", 2), ("scenario/scene01.ks", 2)] and "startup.tjs" in (tmp_path / "a.md").read_text("utf-8")
     assert run(spark, capsys, "audit", root, "--json", root / "inside.json")[0] == 2 and run(spark, capsys, "audit", tmp_path / "none")[0] == 2
 
 

@@ -17,6 +17,8 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 CHECKED = (
     "p1_found", "p1_loaded", "p1_lines", "p3_found", "tokens_compared", "text_measures", "qa_findings", "qa_gate", "qa_inconsistent", "memory_decisions", "memory_summary", "review_judged", "review_summary",
     "audit_signals", "audit_categories", "script_extract", "slots_scan", "images_compared", "manifest_states", "tree_differences", "regenerated", "progress", "collisions",
+    "qa_gate_gbk", "unencodable_chars", "review_judged_gbk", "magic_kinds", "named_pairs", "prefixed_strings", "progress_traces", "path_collisions", "slots_compared", "images_formats", "images_differences",
+    "script_problems", "audit_wider", "retention", "fingerprints", "range_overlaps", "stray_differences",
 )
 
 
