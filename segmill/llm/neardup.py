@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segmill.llm import shingles
+from segmill.operators import skew
 from segmill.session import checkpointed
 
 #: Weighted bands: 26 of 3 rows find a pair of weighted Jaccard 0.5 with 97 %, 0.6 with 99.8 %, and meet one of 0.05 with 0.3 %.
@@ -28,11 +29,11 @@ _ENTRY = np.dtype([("key", "<u8"), ("id", "<i8")])
 
 
 def distinct_texts(rows: DataFrame, least: int) -> DataFrame:
-    """``(rep, text)``: every distinct text of ``least`` characters or more with its least row id.
+    """``(text, rep, n)``: every distinct text of ``least`` characters or more with its least row id and its rows.
 
     Counted map-side, so exact copies, however many, are one row per task.
     """
-    return rows.where(F.length("text") >= least).groupBy("text").agg(F.min("id").alias("rep"))
+    return rows.where(F.length("text") >= least).groupBy("text").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
 
 
 def element_weights(texts: DataFrame) -> np.ndarray:
@@ -230,6 +231,9 @@ def similar_texts(texts: DataFrame, threshold: float = 0.8, bands: int = BANDS,
     named = direct.distinct().join(texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b")
     shape = "a long, b long, similarity double"
     found = named.select("a", "b", "ta", "tb").mapInArrow(_verify(threshold), shape)
+    once = lambda df: df.groupBy("a", "b").agg(F.first("similarity").alias("similarity"))
+    if met.where("a IS NULL").isEmpty():
+        return once(found)
     # large buckets: a piece's texts are gathered once; which pieces meet is worked out from their numbers, and
     # each meeting is a row of its own, so that one bucket's are many tasks
     hot = met.where("a IS NULL").select("bucket", "piece", F.explode("members").alias("id"))
@@ -239,7 +243,7 @@ def similar_texts(texts: DataFrame, threshold: float = 0.8, bands: int = BANDS,
     left = pieces.join(last, "bucket").select("bucket", F.col("piece").alias("first"), F.explode(F.sequence("piece", "last")).alias("piece"), F.col("members").alias("left"))
     meetings = left.join(pieces.withColumnRenamed("members", "right"), ["bucket", "piece"]).select((F.col("first") == F.col("piece")).alias("same"), "left", "right")
     blocks = meetings.mapInArrow(_verify_blocks(threshold), shape)
-    return found.unionByName(blocks).groupBy("a", "b").agg(F.first("similarity").alias("similarity"))
+    return once(found.unionByName(blocks))
 
 
 def similar_records(rows: DataFrame, threshold: float = 0.8, least: int = 24) -> DataFrame:
@@ -252,17 +256,17 @@ def similar_records(rows: DataFrame, threshold: float = 0.8, least: int = 24) ->
     texts = checkpointed(distinct_texts(rows, max(2, least)))  # read by every step below
     pairs = similar_texts(texts, threshold)
     kept = checkpointed(pairs.select("a", "b"))
-    members = members_of(rows, texts, kept, least)
-    left, right = members.select(F.col("rep").alias("a"), F.col("id").alias("x")), members.select(F.col("rep").alias("b"), F.col("id").alias("y"))
-    met = kept.join(left, "a").join(right, "b")
-    return met.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+    heavy = skew.heavy_keys(texts, ["text"])
+    members = members_of(rows, texts, kept, least, heavy).withColumnRenamed("rep", "key")
+    met = skew.row_pairs(kept, members, heavy and skew.heavy_keys(texts.select(F.col("rep").alias("key"), "n"), ["key"]))
+    return met.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
 
 
-def members_of(rows: DataFrame, texts: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
-    """``(rep, id)`` of the rows whose text is in a pair."""
+def members_of(rows: DataFrame, texts: DataFrame, pairs: DataFrame, least: int, heavy: DataFrame | None) -> DataFrame:
+    """``(rep, id)`` of the rows whose text is in a pair; ``heavy`` are the texts of very many rows."""
     linked = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
     own = texts.join(linked, "rep").select("rep", "text")
-    return rows.where(F.length("text") >= max(2, least)).join(own, "text").select("rep", "id")
+    return skew.split_join(rows.where(F.length("text") >= max(2, least)).select("id", "text"), own, ["text"], heavy, "id").select("rep", "id")
 
 
 def groups(rows: DataFrame, threshold: float = 0.8, least: int = 24) -> DataFrame:
@@ -277,7 +281,9 @@ def groups(rows: DataFrame, threshold: float = 0.8, least: int = 24) -> DataFram
     degree = edges.select(F.explode(F.array("u", "v")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
     label = components(edges)
     by_text = texts.join(label, "rep", "left").join(degree, "rep", "left").select("text", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
-    return rows.join(by_text, "text", "left").select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    long = F.coalesce(F.length("text") >= max(2, least), F.lit(False))
+    classed = skew.split_join(rows.where(long).select("id", "text"), by_text, ["text"], skew.heavy_keys(texts, ["text"]), "id").select("id", "class_id", "links")
+    return classed.unionByName(rows.where(~long).select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("links")))
 
 
 #: Rounds of the star contraction after which classes that still change are an error; they end after the square of the logarithm of the nodes.

@@ -13,7 +13,7 @@ letter for its kind, so that rules can tell speech inside a sentence from a sent
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -254,12 +254,12 @@ _HEADING = regex.compile(r" {0,3}#{1,6}(?:\s|$)")
 _ITEM = regex.compile(r"\s*[-*] ")
 
 
-def blocks(text: str) -> Iterator[tuple[int, int]]:
-    """``(start, end)`` of the blocks that may hold sentences."""
+def blocks(text: str, marked: bool = True) -> Iterator[tuple[int, int]]:
+    """``(start, end)`` of the blocks that may hold sentences; without markup (code, licences) blank lines alone part them."""
     at, held, fenced = 0, None, False
     for line in text.splitlines(keepends=True):
         end = at + len(line)
-        if _FENCE.match(line):
+        if marked and _FENCE.match(line):
             if held is not None:
                 yield held, at
                 held = None
@@ -269,7 +269,7 @@ def blocks(text: str) -> Iterator[tuple[int, int]]:
                 if held is not None:
                     yield held, at
                     held = None
-            elif _HEADING.match(line) or (item := _ITEM.match(line)):
+            elif marked and (_HEADING.match(line) or (item := _ITEM.match(line))):
                 if held is not None:
                     yield held, at
                     held = None
@@ -281,19 +281,22 @@ def blocks(text: str) -> Iterator[tuple[int, int]]:
         yield held, at
 
 
-def sentences(text: str, declared: str | None) -> list[tuple[int, int]]:
-    """``(start, end)`` in code points of all sentences of a text."""
+def sentences(text: str, declared: str | None, marked: bool = True) -> list[tuple[int, int]]:
+    """``(start, end)`` in code points of all sentences of a text; ``marked`` texts may have headings, list items and fences."""
     lang = language(text, declared)
     out = []
-    for a, b in blocks(text):
+    for a, b in blocks(text, marked):
         for x, y in split_block(text[a:b], lang):
             out.append((a + x, a + y))
     return out
 
 
-def split_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "prose_lang") -> DataFrame:
+def split_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "prose_lang", class_col: str | None = None, marked: Sequence[str | None] = ("prose",)) -> DataFrame:
     """``(id, sent_no, sent_start, sent_end)`` of every sentence, offsets in code points, end exclusive.
 
+    With ``class_col`` only files of the classes ``marked`` are read as having headings, list items and fences; in others these
+    signs mean something else, and nothing is left out.
+
     One narrow pass over whole texts. NULL, empty and blank texts give no sentence; a NULL language is
     guessed from the script; repeated rows give repeated sentences; only the named columns are read.
     """
@@ -303,8 +306,8 @@ def split_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for batch in batches:
             own = batch.column(0).to_pylist()
             ids, no, start, end = [], [], [], []
-            for key, text, lang in zip(own, batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                for n, (a, b) in enumerate(sentences(text or "", lang), 1):
+            for key, text, lang, kind in zip(own, *(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                for n, (a, b) in enumerate(sentences(text or "", lang, class_col is None or kind in marked), 1):
                     ids.append(key)
                     no.append(n)
                     start.append(a)
@@ -313,4 +316,4 @@ def split_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 [pa.array(ids, batch.schema.field(0).type), pa.array(no, pa.int32()), pa.array(start, pa.int64()), pa.array(end, pa.int64())], names=["id", "sent_no", "sent_start", "sent_end"]
             )
 
-    return df.select(F.col(id_col), F.col(text_col), F.col(lang_col)).mapInArrow(split, f"id {kind}, sent_no int, sent_start long, sent_end long").withColumnRenamed("id", id_col)
+    return df.select(F.col(id_col), F.col(text_col), F.col(lang_col), (F.col(class_col) if class_col else F.lit(None).cast("string")).alias("__class")).mapInArrow(split, f"id {kind}, sent_no int, sent_start long, sent_end long").withColumnRenamed("id", id_col)

@@ -18,6 +18,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from segmill.operators import skew
+from segmill.session import checkpointed
+
 #: Characters without ink: default ignorables (fixed values of the Unicode character database).
 _NO_INK = re.compile(
     "[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0\ufff0-\ufff8"
@@ -115,15 +118,15 @@ def classes(values: DataFrame) -> DataFrame:
 
 
 def variant_classes(values: DataFrame) -> DataFrame:
-    """``(field_name, sk, h, value)``: the distinct values of the classes that hold more than one.
+    """``(field_name, sk, h, value, n)``: the distinct values of the classes that hold more than one, and their rows.
 
     ``sk`` and ``h`` are 64-bit hashes of skeleton and value; only hashes and the values of real classes
     are moved. A class is found by the least and the greatest value hash, which differ only there.
     """
     spark = values.sparkSession
-    distinct = values.select("field_name", "value").distinct()
-    named = distinct.select("field_name", "value", skeleton_column(spark, F.col("value")).alias("skeleton")).where("skeleton <> ''")
-    keyed = named.select("field_name", F.xxhash64("skeleton").alias("sk"), F.xxhash64("value").alias("h"), "value")
+    distinct = values.groupBy("field_name", "value").agg(F.count("*").alias("n"))
+    named = distinct.select("field_name", "value", "n", skeleton_column(spark, F.col("value")).alias("skeleton")).where("skeleton <> ''")
+    keyed = named.select("field_name", F.xxhash64("skeleton").alias("sk"), F.xxhash64("value").alias("h"), "value", "n")
     several = keyed.groupBy("field_name", "sk").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("field_name", "sk")
     return keyed.join(several, ["field_name", "sk"])
 
@@ -132,22 +135,24 @@ def look_alike_pairs(values: DataFrame) -> DataFrame:
     """``(field_name, id_a, id_b)``, smaller id first: all pairs of rows that look alike but aren't the same string.
 
     Takes :func:`forms`. Pairs are formed of distinct values of one class and only then widened to rows:
-    equal strings never meet. Skewed values are left to the adaptive skew join, rows are pre-filtered to
-    values of classes that have variants. Two hash collisions at once would be needed for a wrong pair;
-    the values themselves are compared.
+    equal strings never meet. Values of many rows are split (:mod:`skew`), rows are pre-filtered to
+    values of classes that have variants. Two hash collisions at once would be needed for a wrong pair.
     """
-    variants = variant_classes(values)
+    variants = checkpointed(variant_classes(values).select("field_name", "sk", "h", "n"))  # values of classes with variants only
+    heavy = skew.heavy_keys(variants, ["field_name", "h"])
     rows = values.select("field_name", F.xxhash64("value").alias("h"), "id")
-    held = variants.select("field_name", "h", "sk").join(rows, ["field_name", "h"]).select("field_name", "sk", "h", "id")
-    a = held.select("field_name", "sk", F.col("h").alias("ha"), F.col("id").alias("a"))
-    b = held.select("field_name", "sk", F.col("h").alias("hb"), F.col("id").alias("b"))
-    met = a.join(b, ["field_name", "sk"]).where("ha < hb")
-    return met.select("field_name", F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"))
+    held = skew.split_join(rows, variants.select("field_name", "h"), ["field_name", "h"], heavy, "id", "left_semi")
+    side = lambda c: variants.select("field_name", "sk", F.col("h").alias(f"h{c}"), F.struct("field_name", "h").alias(c))
+    pairs = side("a").join(side("b"), ["field_name", "sk"]).where("ha < hb").select("a", "b")
+    key = F.struct("field_name", "h").alias("key")
+    met = skew.row_pairs(pairs, held.select(key, "id"), skew.heavy_keys(variants.select(key, "n"), ["key"]))
+    return met.select("a.field_name", F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
 
 
 def normalised(values: DataFrame) -> DataFrame:
     """``(field_name, id, value, canonical)``: every row with the consistent form of its text.
 
+    A value in very many rows is split by the adaptive skew join.
     Blank values keep themselves.
     """
     best = classes(values).where("variants > 1 AND value <> canonical").select("field_name", "value", F.col("canonical").alias("other"))

@@ -271,6 +271,57 @@ def test_blocks():
     assert got == ["# Head", "One line\ngoes on.", "Two.", "item one", "item.", "Two", "last", "end"]
 
 
+def test_unmarked_blocks():
+    text = "# a comment. Two\n```\nkept. too\n\n* x. Y"
+    assert [text[a:b] for a, b in sentences.sentences(text, "en", marked=False)] == ["# a comment.", "Two\n```\nkept.", "too", "* x.", "Y"]
+
+
+def test_rules_see_all_that_stands_before():
+    """Quotations behind many spaces, and long runs before a position."""
+    text = "He left." + " " * 40 + "“Stop now.” " + "He said" + " " * 30 + "“Go.” and left. x" + "." * 60 + " and on."
+    got = [text[a:b] for _, b in [(0, 0)] for a, b in sentences.sentences(text, "en")]
+    assert got == ["He left.", "“Stop now.”", "He said" + " " * 30 + "“Go.” and left.", "x" + "." * 60 + " and on."]
+
+
+@pytest.mark.parametrize("rare", [False, True])
+def test_recall_inside_a_family(rare):
+    """A third of all texts are edits of one: pairs that share a band, by similarity."""
+    rng = random.Random(5)
+    letters = [chr(0x4E00 + k) for k in range(1500)]
+    root, texts = [rng.choice(letters) for _ in range(60)], set()
+    for i in range(1050):
+        own = list(root) if i < 350 else [rng.choice(letters) for _ in range(rng.randint(30, 80))]
+        for _ in range(rng.randint(1, 5) if i < 350 else 0):
+            k = rng.randrange(len(own))
+            new = [chr(0x6000 + rng.randrange(8000)) if rare else rng.choice(letters) for _ in range(rng.randint(0, 3))]
+            own[k : k + rng.randint(0, 3)] = new
+        texts.add("".join(own))
+    texts = sorted(t for t in texts if len(t) >= 24)
+    h, o = shingles.bigram_elements(texts)
+    frequency = np.bincount(shingles.element_slots(h), minlength=1 << shingles.UNIVERSE_BITS)
+    weights = np.log((len(texts) + 1) / (frequency + 0.5)) ** 2
+    weights = np.maximum(weights, weights.max() / neardup.RATIO).astype(np.float32)
+    keys = [shingles.band_keys(shingles.signatures(h, o, b * r, w), b, r) for b, r, w in ((neardup.BANDS, neardup.ROWS, weights), (neardup.PLAIN_BANDS, neardup.PLAIN_ROWS, None))]
+    keys = np.concatenate((keys[0], ~keys[1]), axis=1)
+    sets = [set(h[o[i] : o[i + 1]].tolist()) for i in range(len(texts))]
+    found, near = [], []
+    for i in range(len(texts)):
+        for j in range(i + 1, len(texts)):
+            dice = 2 * len(sets[i] & sets[j]) / (len(sets[i]) + len(sets[j]))
+            if dice >= 0.8:
+                met = bool((keys[i] == keys[j]).any())
+                found.append(met)
+                near += [met] if dice < 0.85 else []
+    assert len(near) > 500 and np.mean(found) >= 0.985 and np.mean(near) >= 0.97
+
+
+def test_unfinished_classes_are_refused(spark):
+    chain = spark.createDataFrame([(k, k + 1) for k in range(60)], "u long, v long")
+    assert {r.class_id for r in neardup.components(chain).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        neardup.components(chain, rounds=1)
+
+
 def test_documents(spark):
     long = "One two three. " * 20_000
     rows = [(1, "Ä. Ö!", None, 0), (1, "Ä. Ö!", None, 0), (2, None, "en", 0), (3, "", None, 0), (4, "```\nx", None, 0), (5, long, "en", 0), (6, "文。\U0001f600字。", None, 0)]
