@@ -32,9 +32,9 @@ def memory_decisions(spark, sf_dir):
 
 
 def memory_summary(spark, sf_dir):
-    """Counters of the exact steps, as its SQL has them (no suggestions); see :func:`memory_summary_similar`."""
+    """Counters of the exact steps, as its SQL has them (no threshold, no suggestions); see :func:`memory_summary_similar`."""
     past = previous(spark, sf_dir)
-    return memory.summary(memory.decisions(current(spark, sf_dir), past, threshold=None), past.count(), 0.86)
+    return memory.summary(memory.decisions(current(spark, sf_dir), past, threshold=None), past.count(), None)
 
 
 def memory_similar(spark, sf_dir):
@@ -129,7 +129,7 @@ ORACLES = {
     "memory_decisions": _MEMORY + "SELECT row_idx, decision, reason, catalogs, previous_rows, new_target, warned FROM x",
     "memory_summary": _MEMORY
     + f"""SELECT CASE WHEN {_N('conflict')} = 0 THEN 'PASS' ELSE 'REVIEW' END AS status, count(*) AS current_records, (SELECT count(*) FROM prev) AS previous_records, {_N('kept-current')} AS kept_current,
- {_N('reused-exact-id')} AS reused_by_id, {_N('reused-exact-source')} AS reused_by_source, 0::BIGINT AS suggestions, {_N('conflict')} AS conflicts, count(*) FILTER (WHERE decision IN ('conflict', 'pending')) AS pending, 0.86::DOUBLE AS fuzzy_threshold FROM x""",
+ {_N('reused-exact-id')} AS reused_by_id, {_N('reused-exact-source')} AS reused_by_source, 0::BIGINT AS suggestions, {_N('conflict')} AS conflicts, count(*) FILTER (WHERE decision IN ('conflict', 'pending')) AS pending, NULL::DOUBLE AS fuzzy_threshold FROM x""",
     "memory_merged": _MEMORY + "SELECT row_idx, segment_id, source, new_target AS target FROM x",
     "memory_review_queue": _MEMORY + f"SELECT '{_HASH}' AS current_sha256, segment_id, decision, coalesce(reason, '') AS reason, '' AS previous_catalog, '' AS reviewed_target FROM x WHERE decision IN ('conflict', 'pending')",
     "review_judged": _REVIEW + "SELECT line_no, segment_id, error FROM x",
