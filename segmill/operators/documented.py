@@ -6,14 +6,20 @@ empty input gives no finding.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from segmill.functions import codecs, paths
 from segmill.functions import text as T
+from segmill.operators import skew
 
 # Signatures of archives and scripts, and the format each speaks for. Those in ASCII stand at the
 # file's beginning, but for the two that are found anywhere in an executable.
@@ -256,16 +262,82 @@ def stray_targets(branches: DataFrame, elements: DataFrame) -> DataFrame:
     return branches.select("path", "target").join(elements.select("path", F.col("start").alias("target")), ["path", "target"], "left_anti")
 
 
+#: Bytes of a content that one whole number holds, and such numbers that are compared before bytes are walked through.
+_WORD, _MOST_WORDS = 7, 8
+
+
+def _numbers(longest: int) -> int:
+    return min(_MOST_WORDS, max(1, math.ceil(longest / _WORD)))
+
+
+def _words(content: Column, name: str, longest: int) -> list[Column]:
+    """Bytes as numbers of seven each (``name_0`` and so on), what is behind the last of them in hex (``name_rest``), and their count (``name_size``).
+
+    ``longest`` is the size that matters; ``name_rest`` is there only if that is beyond the numbers.
+    """
+    n = _numbers(longest)
+    own = [F.conv(F.rpad(F.hex(F.substring(content, 1 + k * _WORD, _WORD)), 2 * _WORD, "0"), 16, 10).cast("long").alias(f"{name}_{k}") for k in range(n)]
+    rest = [F.hex(F.substring(content, 1 + n * _WORD, 2**31 - 1)).alias(f"{name}_rest")] if longest > n * _WORD else []
+    return [*own, *rest, F.octet_length(content).alias(f"{name}_size")]
+
+
+def _first_byte(a: str, b: str, longest: int) -> Column:
+    """The first byte in which two contents of ``_words`` differ, a lacking byte included; NULL where none does or one is NULL."""
+    n = _numbers(longest)
+    inside = None
+    for k in range(n):
+        differs = F.col(f"{a}_{k}").bitwiseXOR(F.col(f"{b}_{k}"))
+        at = F.when(differs >= 1 << 8 * (_WORD - 1), k * _WORD)  # by its highest byte that isn't zero
+        for i in range(1, _WORD):
+            at = at.when(differs >= 1 << 8 * (_WORD - 1 - i), k * _WORD + i)
+        inside = F.when(differs != 0, at) if inside is None else inside.when(differs != 0, at)
+    if longest > n * _WORD:
+        rest = [F.col(f"{s}_rest") for s in (a, b)]
+        walked = F.array_position(F.zip_with(*(F.split(r, "(?<=\\G..)") for r in rest), lambda u, v: ~u.eqNullSafe(v)), True) - 1
+        inside = inside.when(rest[0] != rest[1], walked + n * _WORD)
+    sizes = F.col(f"{a}_size"), F.col(f"{b}_size")
+    return F.when(sizes[0] != sizes[1], F.least(inside, *sizes)).otherwise(inside).cast("long")
+
+
 def fingerprint_matrix(frames: DataFrame, prints: DataFrame) -> DataFrame:
     """``(frame, print, matches, first_mismatch)`` of ``(frame, place, content)`` against ``(print, place, content)``.
 
-    ``first_mismatch`` is the first differing byte of the pair's first differing place.
+    ``first_mismatch`` is the first differing byte of the pair's first differing place. NULL content decides nothing: ``matches``
+    is NULL where no place differs and one has it. Pairs that can meet in one row alone are finished by the join; only
+    the others, of which both have several places or one repeats a place, are gathered.
     """
-    both = frames.select("frame", "place", F.hex("content").alias("a")).join(prints.select("print", "place", F.hex("content").alias("b")), "place")
-    digits = F.split(F.col("a"), "(?<=\\G..)"), F.split(F.col("b"), "(?<=\\G..)")
-    wrong = F.array_position(F.zip_with(*digits, lambda x, y: ~x.eqNullSafe(y)), True) - 1
-    own = both.withColumn("at", F.when(F.col("a") != F.col("b"), F.struct("place", wrong.alias("byte"))))
-    return own.groupBy("frame", "print").agg((F.count("at") == 0).alias("matches"), F.min("at").alias("first")).select("frame", "print", "matches", F.col("first.byte").alias("first_mismatch"))
+    sides, kinds, sizes = [], [], []
+    for df, key in ((frames, "frame"), (prints, "print")):
+        rows = lambda *by: F.count(F.lit(1)).over(Window.partitionBy(*by))
+        kind = F.when(rows(key) == 1, 2).when(rows(key, "place") == 1, 1).otherwise(0)  # one row in all, one row a place, several rows of a place
+        sides.append(df.where("place IS NOT NULL").select(key, "place", F.col("content").cast("binary").alias("content"), kind.alias(f"{key}_kind")))
+        held = sides[-1].agg(F.collect_set(f"{key}_kind"), F.max(F.octet_length("content"))).first()
+        kinds.append(held[0])
+        sizes.append(held[1] or 0)
+    longest = min(sizes)  # behind it, sizes alone decide
+    sides = [df.select(key, "place", *_words(F.col("content"), key, longest), f"{key}_kind") for df, key in zip(sides, ("frame", "print"), strict=True)]
+
+    def met(meets: Callable) -> DataFrame | None:
+        if not any(meets(x, y) for x in kinds[0] for y in kinds[1]):
+            return None
+        wide = [df.withColumn(other, F.explode(F.array(*map(F.lit, own)))).where(meets(F.col("frame_kind"), F.col("print_kind"))) for df, other, own in zip(sides, ("print_kind", "frame_kind"), reversed(kinds), strict=True)]
+        return skew.cell_join(*wide, ["place", "frame_kind", "print_kind"], "frame", "print")
+
+    parts = [*range(_numbers(longest)), *["rest"] * (longest > _numbers(longest) * _WORD), "size"]
+    same = reduce(lambda x, y: x & y, (F.col(f"frame_{c}") == F.col(f"print_{c}") for c in parts))
+    byte = _first_byte("frame", "print", longest)
+    once, often = met(lambda x, y: x + y >= 3), met(lambda x, y: x + y < 3)
+    found = []
+    if once is not None:
+        found.append(once.select("frame", "print", same.alias("matches"), byte.alias("first_mismatch")))
+    if often is not None:
+        each = often.select("frame", "print", same.alias("same"), F.when(~same, F.struct("place", byte.alias("byte"))).alias("at")).groupBy("frame", "print")
+        own = each.agg(F.count("at").alias("wrong"), F.count_if(F.col("same").isNull()).alias("unknown"), F.min("at").alias("first"))
+        found.append(own.select("frame", "print", F.when(F.col("wrong") > 0, False).when(F.col("unknown") == 0, True).alias("matches"), F.col("first.byte").alias("first_mismatch")))
+    if not found:
+        shape = StructType([frames.schema["frame"], prints.schema["print"]]).add("matches", "boolean").add("first_mismatch", "long")
+        return frames.sparkSession.createDataFrame([], shape)
+    return reduce(DataFrame.unionByName, found)
 
 
 #: Marks that one code page opens and closes a choice with, around a payload in another one (fixed values).

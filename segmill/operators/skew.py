@@ -8,12 +8,15 @@ each, stay in one part. Where no key is heavy the joins are plain ones. Results
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PIECE, MOST_HEAVY = 20_000, 100_000
+#: Rows of either side in a cell of :func:`cell_join`, and pairs of rows that one of its tasks makes.
+CELL, TASK_PAIRS = 2_000, 5_000_000
 
 
 def heavy_keys(counts: DataFrame, keys: Sequence[str], piece: int | None = None) -> DataFrame | None:
@@ -60,3 +63,22 @@ def row_pairs(pairs: DataFrame, members: DataFrame, heavy: DataFrame | None) ->
     left = cells.join(own.select(F.col("key").alias("a"), F.col("__part").alias("i"), F.col("id").alias("id_a")), ["a", "i"])
     right = cells.join(own.select(F.col("key").alias("b"), F.col("__part").alias("j"), F.col("id").alias("id_b")), ["b", "j"])
     return left.join(right, ["a", "i", "b", "j"]).select("a", "b", "id_a", "id_b")
+
+
+def cell_join(a: DataFrame, b: DataFrame, keys: Sequence[str], by_a: str, by_b: str, cell: int | None = None) -> DataFrame:
+    """``a`` joined with ``b`` on ``keys`` where either side may hold very many rows of a key, and the pairs are the work.
+
+    Rows of a heavy key are dealt to parts by ``by_a`` and ``by_b``; a pair of parts is a cell. Tasks are as many as
+    the pairs need, as neither rows nor bytes of the inputs, which are all that the adaptive planner sees, tell them.
+    """
+    size = cell or CELL
+    n = [df.dropna(subset=[*keys]).groupBy(*keys).agg(F.count("*").alias("n")) for df in (a, b)]
+    of_a, of_b = (heavy_keys(x, keys, size) for x in n)
+    pairs = n[0].join(n[1].withColumnRenamed("n", "m"), [*keys]).agg(F.sum(F.col("n").cast("double") * F.col("m"))).first()[0] or 0
+    on = [*keys]
+    for heavy, by, part in ((of_a, (by_a, None), "__i"), (of_b, (None, by_b), "__j")):
+        if heavy is not None:
+            a, b = (_dealt(df, keys, heavy, None if c is None else F.col(c)).withColumnRenamed("__part", part).drop("__h") for df, c in zip((a, b), by, strict=True))
+            on.append(part)
+    tasks = max(a.sparkSession.sparkContext.defaultParallelism, math.ceil(pairs / TASK_PAIRS))
+    return a.repartition(tasks, *on).join(b.repartition(tasks, *on), on).drop("__i", "__j")

@@ -9,7 +9,7 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
-from segmill.operators import adapter, audit, documented, images, manifest, memory, qa, review, similarity, slots
+from segmill.operators import adapter, audit, documented, images, manifest, memory, qa, review, similarity, skew, slots
 from segmill.plans import migration
 from segmill.sources import catalog, review_csv, sinks, tree
 
@@ -317,3 +317,54 @@ def test_documented_checks(spark):
     assert got(documented.repeated_ids(df([(1,), (1,), (2,)], "k int"), "k")) == [(1, 2)]
     r = "segment_id string, source string, target string"
     assert got(documented.regeneration_diff(df([("a", "s", "s"), ("b", "s", "t"), ("c", "s", "t")], r), df([("c", "s", "u"), ("d", "s", "t")], r))) == [("a", "omitted-no-op"), ("b", "omitted"), ("c", "changed"), ("d", "new")]
+
+
+def _fingerprints_by_hand(frames, prints):
+    found = {}
+    for f, x, a in frames:
+        for p, y, b in prints:
+            if x is not None and x == y:
+                known = a is not None and b is not None
+                byte = next((i for i in range(max(len(a), len(b))) if a[i : i + 1] != b[i : i + 1]), None) if known else None
+                found.setdefault((f, p), []).append((x, byte, known))
+    wrong = {k: min((x, byte) for x, byte, _ in v if byte is not None)[1] for k, v in found.items() if any(byte is not None for _, byte, _ in v)}
+    return sorted(((*k, False if k in wrong else True if all(known for *_, known in v) else None, wrong.get(k)) for k, v in found.items()), key=repr)
+
+
+def _fingerprints(spark, frames, prints):
+    return documented.fingerprint_matrix(*(spark.createDataFrame(rows, f"{key} long, place int, content binary") for rows, key in ((frames, "frame"), (prints, "print"))))
+
+
+@pytest.mark.parametrize(("kind", "longest", "cell"), [("lone", 9, 2000), ("lone", 70, 3), ("places", 15, 3), ("repeats", 60, 4)])
+def test_fingerprints_against_brute_force(spark, monkeypatch, kind, longest, cell):
+    """Lacking and zero bytes, bytes beyond all numbers, NULL, one row a frame or several, places that repeat."""
+    monkeypatch.setattr(skew, "CELL", cell)
+    rng = random.Random(longest)
+    base = bytes(rng.randrange(256) for _ in range(longest))
+
+    def content():
+        own = bytearray(base)
+        for _ in range(rng.choice((0, 0, 1, 2))):
+            own[rng.randrange(longest)] = rng.choice((0, 127, 128, 255))
+        return None if rng.random() < 0.1 else bytes(own[: rng.choice((longest, longest, rng.randrange(longest)))]) + bytes(rng.choice((0, 0, 1)))
+
+    def side(n):
+        places = {"lone": lambda: [rng.choice((None, 1, 2))], "places": lambda: rng.sample((1, 2, 3), rng.randint(1, 3)), "repeats": lambda: rng.choices((1, 2), k=rng.randint(1, 3))}[kind]
+        return [(i, x, content()) for i in range(n) for x in places()]
+
+    frames, prints = side(30), side(20)
+    got = sorted((tuple(r) for r in _fingerprints(spark, frames, prints).collect()), key=repr)
+    assert got == _fingerprints_by_hand(frames, prints) and {r[2] for r in got} == {True, False, None}
+    assert _fingerprints(spark, frames, []).count() == 0
+
+
+def test_fingerprints_of_one_row_are_not_gathered(spark, monkeypatch):
+    """The pairs are the job: none of them is moved again, and those of one place are made in several tasks."""
+    monkeypatch.setattr(skew, "CELL", 50)
+    frames, prints = ([(i, 1, f"{i * k:09d}".encode()) for i in range(n)] for n, k in ((400, 3), (200, 5)))
+    df = _fingerprints(spark, frames, prints)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and "Aggregate" not in plan.split("Join")[0]
+    assert sorted((tuple(r) for r in df.collect()), key=repr) == _fingerprints_by_hand(frames, prints)
+    tasks = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == 80_000 and len(tasks) > 1 and max(tasks) < 60_000
